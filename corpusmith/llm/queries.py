@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.llm import bpe, packing, splitting
+from corpusmith.llm import bpe, packing, splitting, truncation
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -36,3 +36,15 @@ def p8_containers(spark, directory):
     """Problem 8: container and place of every document."""
     sizes = bpe.count_tokens(table(spark, directory, "documents"), "doc_id", "text")
     return packing.pack_items(sizes.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"))).withColumnRenamed("item", "doc_id")
+
+
+@LLM.add()
+def p9_found(spark, directory):
+    """Problem 9: documents that were cut off."""
+    return truncation.find_truncated(table(spark, directory, "documents")).where("truncated").select("doc_id").distinct()
+
+
+@LLM.add()
+def p9_sources(spark, directory):
+    """Problem 9: the share of cut documents of each source."""
+    return truncation.truncation_rates(truncation.find_truncated(table(spark, directory, "documents")))
