@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.llm import bpe, packing, splitting, truncation
+from corpusmith.llm import bpe, neardup, packing, splitting, truncation
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -48,3 +48,15 @@ def p9_found(spark, directory):
 def p9_sources(spark, directory):
     """Problem 9: the share of cut documents of each source."""
     return truncation.truncation_rates(truncation.find_truncated(table(spark, directory, "documents")))
+
+
+@LLM.add()
+def p4_found(spark, directory):
+    """Problem 4: pairs of chunks that differ by small edits."""
+    return neardup.expand(*neardup.near_duplicates(table(spark, directory, "chunks"), 0.7))
+
+
+@LLM.add()
+def p4_groups(spark, directory):
+    """Problem 4: the group of every chunk."""
+    return neardup.groups(*neardup.near_duplicates(table(spark, directory, "chunks")))
