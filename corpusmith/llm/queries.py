@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.llm import bpe, neardup, packing, splitting, truncation
+from corpusmith.llm import bpe, neardup, packing, splitting, truncation, vectors
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -60,3 +60,17 @@ def p4_found(spark, directory):
 def p4_groups(spark, directory):
     """Problem 4: the group of every chunk."""
     return neardup.groups(*neardup.near_duplicates(table(spark, directory, "chunks")))
+
+
+@LLM.add()
+def p3_found(spark, directory):
+    """Problem 3: pairs of vectors that point nearly in the same direction."""
+    near = vectors.nearest(table(spark, directory, "chunk_vectors"), 5, 0.88)
+    return near.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+@LLM.add()
+def p3_queries(spark, directory):
+    """Problem 3: the five most similar vectors of all for each vector whose id is divisible by 20."""
+    rows = table(spark, directory, "chunk_vectors")
+    return vectors.search_queries(rows, rows.where("vec_id % 20 = 0"))
