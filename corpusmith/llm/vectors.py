@@ -207,15 +207,13 @@ def _fit(rows: DataFrame, sizes: list[tuple[str, int, int]]) -> dict[tuple[str,
     hashed = F.xxhash64("vec_id")
     chosen = Window.partitionBy("model", "dim").orderBy(hashed, "vec_id")
     # a sample by hash: first thinned, then the bound is enforced exactly
-    most = {f"{m}\0{d}": n for m, d, n in sizes}
+    most = {f"{m}\0{d}": n for m, d, n in sizes if (m, d) in plan}
     share = F.create_map(*[x for g, n in most.items() for x in (F.lit(g), F.lit(min(1.0, 1.5 * SAMPLE / n)))])[F.concat_ws("\0", "model", F.col("dim").cast("string"))]
     thin = rows.where(F.pmod(hashed, F.lit(1_000_003)) < share * 1_000_003)
     sample = thin.withColumn("_n", F.row_number().over(chosen)).where(F.col("_n") <= SAMPLE).drop("_n")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         model, dim = group["model"].iloc[0], int(group["dim"].iloc[0])
-        if (model, dim) not in plan:
-            return pd.DataFrame({"model": [], "dim": [], "centres": [], "words": [], "weight": []})
         unit = _unit(np.stack(group.sort_values("vec_id")["vector"].to_numpy())).astype(np.float32)
         codes = Codes.fit(unit[:: max(1, len(unit) // CODE_SAMPLE)][:CODE_SAMPLE]) if dim % WIDTH == 0 else None
         return pd.DataFrame(
