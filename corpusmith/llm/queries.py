@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.llm import bpe, neardup, packing, splitting, truncation, vectors
+from corpusmith.llm import bpe, neardup, packing, secrets, splitting, truncation, vectors
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -74,3 +74,15 @@ def p3_queries(spark, directory):
     """Problem 3: the five most similar vectors of all for each vector whose id is divisible by 20."""
     rows = table(spark, directory, "chunk_vectors")
     return vectors.search_queries(rows, rows.where("vec_id % 20 = 0"))
+
+
+@LLM.add()
+def p6_found(spark, directory):
+    """Problem 6: lines of chunks on which a credential begins."""
+    return secrets.credentials(table(spark, directory, "chunks")).where("line is not null").select("id", "line").distinct()
+
+
+@LLM.add()
+def p6_redacted(spark, directory):
+    """Problem 6: the contents of chunks with credentials, redacted; each id once."""
+    return secrets.credentials(table(spark, directory, "chunks").dropDuplicates(["id"]), redacted=True)
