@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.llm import bpe, neardup, packing, secrets, splitting, truncation, vectors
+from corpusmith.llm import bpe, handwritten, neardup, packing, secrets, splitting, truncation, vectors
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -86,3 +86,9 @@ def p6_found(spark, directory):
 def p6_redacted(spark, directory):
     """Problem 6: the contents of chunks with credentials, redacted; each id once."""
     return secrets.credentials(table(spark, directory, "chunks").dropDuplicates(["id"]), redacted=True)
+
+
+@LLM.add()
+def p5_found(spark, directory):
+    """Problem 5: files that nobody wrote by hand in their workspace."""
+    return handwritten.not_handwritten(table(spark, directory, "files"), table(spark, directory, "chunks")).select("workspace_id", "path")
