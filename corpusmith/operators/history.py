@@ -66,7 +66,7 @@ def broken_transitions(log: DataFrame, job: str, order: str, status: str) -> Dat
     for before, after in TRANSITIONS.items():
         here = previous.isNull() if before is None else previous == before
         allowed = allowed | (here & F.col(status).isin(after)) if after else allowed
-    return log.withColumn("previous", previous).withColumn("_ok", allowed).where("not _ok").drop("_ok")
+    return log.withColumn("previous", previous).withColumn("_ok", F.coalesce(allowed, F.lit(False))).where("not _ok").drop("_ok")
 
 
 def changes_only(log: DataFrame, key: str, order: str, payload: str) -> DataFrame:
