@@ -5,9 +5,10 @@ from __future__ import annotations
 
 def registries():
     """All registries of the core, imported when asked for."""
+    from corpusmith.plans.code import CODE
     from corpusmith.plans.feed import FEED
     from corpusmith.plans.logs import LOGS
     from corpusmith.plans.manifests import MANIFESTS
     from corpusmith.plans.search import SEARCH
 
-    return [FEED, SEARCH, MANIFESTS, LOGS]
+    return [FEED, CODE, SEARCH, MANIFESTS, LOGS]
