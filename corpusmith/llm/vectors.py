@@ -17,9 +17,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusmith.session import materialize
+
 K = 5
 #: Rows of a cell at most on average, up to CELL_FLOATS numbers of cells' centres in all, which bounds what is broadcast.
-CELL, CELL_FLOATS = 256, 8_000_000
+CELL, CELL_FLOATS = 128, 8_000_000
 #: Nearest cells that each vector goes to; within a large cell, nearest parts.
 REACH = 3
 #: Vectors of each group (model, dim) that centres and codes are fitted on, at most.
@@ -180,7 +182,7 @@ def _cell(ids: np.ndarray, vectors: np.ndarray, codes: Codes | None, k: int, flo
         return []
     units = _unit(vectors[first])
     every = np.arange(len(ids))
-    limit = 8 * CELL
+    limit = 16 * CELL
     if len(ids) <= limit:
         return _best(ids, units, every, every, codes, k, floor)
     small = units.astype(np.float32)
@@ -263,14 +265,15 @@ def nearest(rows: DataFrame, k: int = K, floor: float = -1.0, reach: int = REACH
     print_ = F.xxhash64("vector")
     same = Window.partitionBy("model", "dim", "copy").orderBy("vec_id")
     light = every.select("vec_id", "model", "dim", print_.alias("copy")).distinct()
-    ranked = light.withColumn("_n", F.row_number().over(same))
+    ranked = materialize(light.withColumn("_n", F.row_number().over(same)), "copies")
     firsts = ranked.where(F.col("_n") <= k + 1)
     sizes = [(r["model"], r["dim"], r["count"]) for r in firsts.groupBy("model", "dim").count().collect()]
     fitted = spark.sparkContext.broadcast(_fit(every, sizes))
-    extra = light.join(firsts.select("vec_id", "copy"), ["vec_id", "copy"], "left_anti")
+    extra = ranked.where(F.col("_n") > k + 1).drop("_n")
     hot = firsts.where(F.col("_n") == k + 1).select("model", "dim", "copy")  # copies that may have more than are searched
-    searched = every.withColumn("copy", print_)
-    searched = searched.join(extra.select("vec_id", "copy"), ["vec_id", "copy"], "left_anti").select("vec_id", "model", "dim", "vector")
+    searched = every
+    if extra.limit(1).count():  # else there is nothing to take out, and the vectors needn't be shuffled for it
+        searched = every.withColumn("copy", print_).join(extra.select("vec_id", "copy"), ["vec_id", "copy"], "left_anti").select("vec_id", "model", "dim", "vector")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
