@@ -42,7 +42,8 @@ def bm25(index: DataFrame, statistics: DataFrame, queries: DataFrame, key: str,
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     frequency = term_statistics(index.join(asked.select("term").distinct(), "term", "left_semi"), key)
-    hits = index.select("term", key, "tf", "dl").join(asked.join(frequency, "term"), "term").crossJoin(statistics)
+    hits = index.select("term", key, "tf", "dl").join(asked.join(frequency, "term"), "term")
+    hits = hits.withColumn("n", statistics.select("n").scalar()).withColumn("avgdl", statistics.select("avgdl").scalar())
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - b + b * F.greatest(F.col("dl"), F.lit(1)) / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)

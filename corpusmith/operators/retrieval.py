@@ -12,18 +12,26 @@ from corpusmith.functions.code import names
 from corpusmith.functions.query import Query, analyze, fts_groups, path_hints, priority_terms, score_path_hint, subqueries, symbol_hints
 from corpusmith.functions.tokens import search_text, tokens
 from corpusmith.operators import fusion, lexical
+from corpusmith.session import materialize
 
 CHANNEL_ROWS = 200
 
 
 def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The tables that search reads: chunks (each id once), postings, symbols, heads of files and corpus statistics."""
-    own = chunks.groupBy("id").agg(*(F.min_by(c, F.struct("path", "start_line", "content")).alias(c) for c in ("path", "language", "symbol", "start_line", "end_line", "content", "hash")))
+    """The tables that search reads: chunks (each id once), postings, symbols, heads of files and corpus statistics.
+
+    They are written to the shared folder, as every channel of every search reads them.
+    """
+    columns = ("path", "language", "symbol", "start_line", "end_line", "content", "hash")
+    first = chunks.groupBy("id").agg(F.min(F.struct("path", "start_line", "content", "language", "symbol", "end_line", "hash")).alias("c"))
+    own = materialize(first.select("id", *(F.col(f"c.{c}").alias(c) for c in columns)), "chunks")
     cut = own.select("id", tokens(search_text(F.col("path"), F.col("symbol"), F.col("language"), F.col("content"))).alias("t"))
     named = own.select("id", "path", "start_line", F.explode(F.array_distinct(F.concat(names("content"), F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))))).alias("name"))
+    cut = materialize(cut, "tokens")
+    named = materialize(named.withColumn("name_lower", F.lower("name")), "symbols")
     return {
-        "chunks": own, "postings": lexical.postings(cut, "id", F.col("t")), "statistics": lexical.corpus_statistics(cut, F.col("t")),
-        "symbols": named.withColumn("name_lower", F.lower("name")), "heads": own.groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("id")),
+        "chunks": own, "postings": materialize(lexical.postings(cut, "id", F.col("t")), "postings"), "statistics": lexical.corpus_statistics(cut, F.col("t")),
+        "symbols": named, "heads": own.groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("id")),
     }
 
 

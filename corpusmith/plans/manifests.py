@@ -155,10 +155,10 @@ def files_without_chunks(spark, directory):
 def integrity_counts(spark, directory):
     """Row counts of the index and vectors without chunk."""
     chunks, vectors = table(spark, directory, "chunks").select("id").distinct(), table(spark, directory, "chunk_vectors")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
     orphans = vectors.select(F.col("chunk_id").alias("id")).where("id is not null").distinct().join(chunks, "id", "left_anti")
-    one = count(table(spark, directory, "files").select("workspace_id", "path").distinct(), "files").crossJoin(count(chunks, "chunks"))
-    return one.crossJoin(count(vectors.select("vec_id").distinct(), "vectors")).crossJoin(count(orphans, "orphan_vectors"))
+    files = table(spark, directory, "files").select("workspace_id", "path").distinct()
+    counted = {"files": files, "chunks": chunks, "vectors": vectors.select("vec_id").distinct(), "orphan_vectors": orphans}
+    return spark.range(1).select(*(df.agg(F.count("*").alias("n")).scalar().alias(name) for name, df in counted.items()))
 
 
 @MANIFESTS.add("""with h(hint) as (values ('ledger'), ('backoff'), ('token')), b as (select distinct workspace_id, path, regexp_extract(path, '[^/]+$') base from files),
