@@ -10,5 +10,6 @@ def registries():
     from corpusmith.plans.logs import LOGS
     from corpusmith.plans.manifests import MANIFESTS
     from corpusmith.plans.search import SEARCH
+    from corpusmith.plans.web import WEB
 
-    return [FEED, CODE, SEARCH, MANIFESTS, LOGS]
+    return [FEED, CODE, SEARCH, MANIFESTS, LOGS, WEB]

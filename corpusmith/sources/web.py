@@ -59,7 +59,7 @@ def text_of(page: Column) -> Column:
     plain = F.regexp_replace(plain, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n")
     plain = F.regexp_replace(plain, r"<[^>]*>", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\f]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(plain, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def links_of(page: Column, base: Column) -> Column:
@@ -124,8 +124,13 @@ def crawl(pages: DataFrame, root: str, depth: int = 3, most: int = 100_000, rule
     keep = crawlable(F.col("url"), root)
     if rules:
         keep = keep & robots_allowed(F.regexp_extract("url", r"^https?://[^/]+(/.*)?$", 1), rules)
-    edges = materialize(edges.where(F.col("url").isNotNull() & keep).distinct(), "edges")
-    seen = pages.sparkSession.createDataFrame([(root, 0)], "url string, depth int")
+    return reach(edges.where(F.col("url").isNotNull() & keep), root, depth).orderBy("depth", "url").limit(most)
+
+
+def reach(edges: DataFrame, root: str, depth: int) -> DataFrame:
+    """url and depth of what is reached from the root by edges (source, url) within ``depth`` steps."""
+    edges = materialize(edges.distinct(), "edges")
+    seen = edges.sparkSession.createDataFrame([(root, 0)], "url string, depth int")
     frontier = seen
     for step in range(1, depth + 1):
         found = edges.join(frontier.select(F.col("url").alias("source")), "source").select("url").distinct().join(seen.select("url"), "url", "left_anti")
@@ -133,4 +138,4 @@ def crawl(pages: DataFrame, root: str, depth: int = 3, most: int = 100_000, rule
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
-    return seen.orderBy("depth", "url").limit(most)
+    return seen
