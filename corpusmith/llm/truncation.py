@@ -34,7 +34,7 @@ _LAST_FENCE = re.compile(r"(?:^|\n)\s*(?:```|~~~)$")
 _BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0-9]{0,8})$")
 #: An opening or a closing line is known if it occurs this often.
 SEEN = 5
-#: A length piles up in a source if so many texts have it, and so many times the texts of the lengths around it.
+#: A length piles up in a source if so many texts have it, and so many times the mean of the four lengths around it.
 PILE, PILE_X = 5, 8
 COUNTS_KEPT = 200_000
 
@@ -227,7 +227,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     texts_of = docs.groupBy("source", "chars").agg(F.count("*").alias("here"))
     span = F.sequence(F.col("chars") - 2, F.col("chars") + 2)
     around = texts_of.select("source", F.explode(span).alias("chars"), "here").groupBy("source", "chars").agg(F.sum("here").alias("near"))
-    piles = texts_of.join(around, ["source", "chars"]).where((F.col("here") >= PILE) & (F.col("here") * (PILE_X + 4) >= (F.col("near") - F.col("here")) * PILE_X)).select("source", "chars", F.lit(True).alias("piled"))
+    piles = texts_of.join(around, ["source", "chars"]).where((F.col("here") >= PILE) & (F.col("here") * 4 >= (F.col("near") - F.col("here")) * PILE_X)).select("source", "chars", F.lit(True).alias("piled"))
     known = docs.where("verdict is null")
     for k in (3, 2, 1):
         part = lengths.where(F.col("kind") == f"open{k}").select(F.col("key").alias(f"open{k}"), F.col("least").alias(f"least{k}"))
