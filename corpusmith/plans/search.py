@@ -37,10 +37,10 @@ def _documents(spark, directory):
     return table(spark, directory, "documents").where("text is not null").select("doc_id", "text")
 
 
-@SEARCH.add(f"select doc_id, {_DOC_TOK} as tokens from documents where text is not null")
+@SEARCH.add(f"select doc_id, array_to_string({_DOC_TOK}, ' ') as tokens from documents where text is not null")
 def tokenize_plain(spark, directory):
     """I1 for ASCII: tokens of every document by built-in functions."""
-    return _documents(spark, directory).select("doc_id", plain_tokens(F.col("text")).alias("tokens"))
+    return _documents(spark, directory).select("doc_id", F.array_join(plain_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @SEARCH.add()

@@ -37,10 +37,10 @@ def html_title(spark, directory):
     return _pages(spark, directory).select("doc_id", web.title(F.col("html")).alias("title"))
 
 
-@WEB.add("select doc_id, ['https://Docs.Site.test/' || (doc_id * k % 7) || '/page' || (doc_id * k % 1000) for k in [2, 3]] links from documents")
+@WEB.add("select doc_id, ['https://Docs.Site.test/' || (doc_id * k % 7) || '/page' || (doc_id * k % 1000) for k in [2, 3]].array_to_string(' ') links from documents")
 def html_links(spark, directory):
     """The absolute links of every page."""
-    return _pages(spark, directory).select("doc_id", web.links_of(F.col("html"), F.col("url")).alias("links"))
+    return _pages(spark, directory).select("doc_id", F.array_join(web.links_of(F.col("html"), F.col("url")), " ").alias("links"))
 
 
 @WEB.add("select doc_id, 'No ' || doc_id || chr(10) || chr(10) || 'One' || chr(10) || 'two' || chr(10) || 'nextnext' as text from documents")
@@ -61,7 +61,7 @@ def crawl_links(spark, directory):
     return web.reach(edges, root, 4)
 
 
-@WEB.add("select md5(doc_id::varchar) hash, 'Ann ' || doc_id % 9 author, 'subject of ' || doc_id subject, ['src/a' || doc_id || '.ts', 'src/b' || doc_id % 10 || '.ts'] files from documents")
+@WEB.add("select md5(doc_id::varchar) hash, 'Ann ' || doc_id % 9 author, 'subject of ' || doc_id subject, 'src/a' || doc_id || '.ts src/b' || doc_id % 10 || '.ts' files from documents")
 def commit_log(spark, directory):
     """Commits parsed from a log of every document."""
     n, s = F.col("doc_id"), commits.SEPARATOR
@@ -69,7 +69,7 @@ def commit_log(spark, directory):
     head = text(F.lit(f"{commits.MARK}{s}"), F.md5(n.cast("string")), F.lit(s), F.substring(F.md5(n.cast("string")), 1, 7), F.lit(f"{s}Ann "), (n % 9).cast("string"), F.lit(f"{s}2025-01-01{s}subject of "), n.cast("string"))
     names = [head, F.lit(""), text(F.lit("src/a"), n.cast("string"), F.lit(".ts")), text(F.lit("src/b"), (n % 10).cast("string"), F.lit(".ts"))]
     rows = table(spark, directory, "documents").select(F.coalesce("source", F.lit("none")).alias("log"), n, F.posexplode(F.array(*names)).alias("k", "value"))
-    return commits.parse_log(rows.select("log", (F.col("doc_id") * 4 + F.col("k")).alias("n"), "value")).select("hash", "author", "subject", "files")
+    return commits.parse_log(rows.select("log", (F.col("doc_id") * 4 + F.col("k")).alias("n"), "value")).select("hash", "author", "subject", F.array_join("files", " ").alias("files"))
 
 
 @WEB.add("""select count(*) filter (status = 'committed') committed, count(*) filter (status = 'aborted') aborted, (select count(*) from events) requests, (select count(*) filter (value >= 40) from events) errors, (select quantile_disc(value, 0.95) from events) p95_ms

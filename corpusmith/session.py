@@ -43,6 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster on which it isn't installed."""
+    import os
+    import zipfile
+
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="corpusmith-"), "corpusmith.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for base, _, files in os.walk(folder):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    archive.write(path, os.path.join("corpusmith", os.path.relpath(path, folder)))
+    spark.sparkContext.addPyFile(target)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
