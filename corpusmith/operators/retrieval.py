@@ -126,6 +126,7 @@ def candidates(plans: DataFrame, channels: list[DataFrame], index: dict[str, Dat
     lists = channels[0]
     for c in channels[1:]:
         lists = lists.unionByName(c)
+    lists = materialize(lists, "lists")
     meaning = lists.where("channel = 'semantic'").groupBy("query_id", "id").agg(F.max("score").alias("semantic"))
     fused = fusion.reciprocal_ranks(lists, "id").join(meaning, ["query_id", "id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "id")
