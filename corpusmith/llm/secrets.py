@@ -25,7 +25,7 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 TRAINING_LINES, SEED = 14_000, 20240817
 
 # Parts of names that tell of secrets, and of names that don't hold any.
-_SECRET = "password passwd passphrase pass pwd pw secret token key apikey cred credential credentials auth authorization bearer session signing".split()
+_SECRET = "password passwd passphrase pass pwd pw secret token key apikey cred credential credentials auth authorization bearer session signing sig".split()
 _PUBLIC = "sha sha1 sha256 sha512 hash digest etag checksum integrity commit ref rev revision id uuid public pub cert name field label path url file column index type prefix header ttl length size count limit hint policy fingerprint".split()
 _KNOWN = {*_SECRET, *_PUBLIC}
 _ENDINGS = sorted((w for w in _KNOWN if len(w) > 3), key=lambda w: (-len(w), w))
@@ -34,7 +34,12 @@ _PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|gl[a-z]{2
 
 _LINE = re.compile(
     rf"(?im)(?:{_TELLING}[\w.\-]*[\"'`\])]*\s*(?::=|=>|[:=,]|\s(?:to|is|as)\s|\s)\s*(?:[a-z&.:]{{0,12}}\(?)?[\"'`][^\"'`\n]+[\"'`]"
-    rf"|{_TELLING}[\w.\-]*[\"'`\])]*\s*(?::=|=>|[:=])\s*(?:(?:basic|bearer|token)\s+)?[^\s\"'`(){{}}\[\],;]{{4,}}(?=\\?\s*(?:-->|\*/)?\s*$|[\"'`])"
+    rf"|{_TELLING}[\w.\-]*[\"'`\])]*\s*(?::=|=>|[:=])\s*(?:(?:basic|bearer|token)\s+)?[^\s\"'`(){{}}\[\],;]{{4,}}"
+    rf"|<[\w.:\-]*{_TELLING}[\w.\-]*(?:\s[^<>\n]*)?>[^<>\s]{{4,}}</"
+    rf"|--?[\w\-]*{_TELLING}[\w\-]*\s+[^\s\"'`\-]\S{{3,}}"
+    rf"|\b(?:login|machine|account)\s+\S+\s+(?:login\s+\S+\s+)?password\s+\S{{4,}}"
+    rf"|hooks\.slack\.com/services/\S{{8,}}"
+    rf"|[?&]sig=[^\s&\"'`]{{8,}}"
     rf"|\b(?:creds?|credentials?|login|user(?:name)?|account)\b[:\s]+\S+\s+[/|]\s+\S{{6,}}"
     rf"|(?:password|passphrase|pwd|\bpw)\s+(?:is|was)\s+\S{{5,}}"
     rf"|(?:authorization|auth|bearer)\W{{1,4}}(?:basic|bearer|token)\s+\S{{8,}}"
@@ -43,12 +48,15 @@ _LINE = re.compile(
     rf"|-----BEGIN )"
 )
 #: What a line must have before it is looked at closely, in lower case.
-_QUICK = re.compile(r"login|user|account|pass|pwd|pw|secret|token|key|cred|auth|session|bearer|://[^/\s]*@|-----begin |akia|asia|aiza|gh[pousr]_|glpat|xox|xapp|[sr]k_|sk-|eyj|ya29|npm_|hf_|sg\.|dop_v1|shp|gl[a-z]{2,4}-|pk_")
+_QUICK = re.compile(r"login|user|account|pass|pwd|pw|secret|token|key|cred|auth|session|bearer|://[^/\s]*@|-----begin |akia|asia|aiza|gh[pousr]_|glpat|xox|xapp|[sr]k_|sk-|eyj|ya29|npm_|hf_|sg\.|dop_v1|shp|gl[a-z]{2,4}-|pk_|hooks\.slack|[?&]sig=")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END [A-Z0-9 ]+-----|[A-Za-z0-9+/=\s\\]*)")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\n|[^\sA-Za-z0-9]")
 _FIELD = re.compile(r"[^\s\"'`(){}\[\],;]+|[{<][^\s\"'`]*")
 _ASSIGN = re.compile(r"^(-{0,2}[A-Za-z_][A-Za-z0-9_.\-]*)(:=|=>|=|:)(?=[^=/\s:])")
 _URL = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*://)([^:@/\s]*)(:)([^@\s/]+)(@)")
+_TAG = re.compile(r"^<([\w.:\-]+)>([^<>\s]+)</")
+_PARAM = re.compile(r"[?&]([\w.\-]+)=([^&\s#]+)")
+_HOOK = re.compile(r"hooks\.slack\.com/services/([^\s?#]+)")
 _NAME = re.compile(r"^-{0,2}[A-Za-z_][A-Za-z0-9_.\-]*$")
 _KEYED = re.compile(r"[\"'`\])]*\s*(?::=|=>|[:=](?!=))|[\"'`]?\s(?:to|is|as)\s|[\"'`]\]?\s*[\"'`]")
 _LISTED = re.compile(r"[\"'`]\s*,")
@@ -143,6 +151,21 @@ def tokens_of(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
             fields.append((a + url.end(5), b, key, "host"))
             head = ""
             continue
+        tag = _TAG.match(own)
+        if tag:
+            fields += [(a, a + tag.end(1), "", "key"), (a + tag.start(2), a + tag.end(2), tag.group(1), "value"), (a + tag.end(2), b, "", "plain")]
+            key, head = "", ""
+            continue
+        given = [(x.start(1), x.end(1), "webhook_secret") for x in _HOOK.finditer(own)] + [(x.start(2), x.end(2), x.group(1)) for x in _PARAM.finditer(own)] if "?" in own or "hooks." in own else []
+        if given:
+            begun = a
+            for x, y, name in given:
+                fields += [(begun, a + x, key, "url"), (a + x, a + y, name, "value")]
+                begun = a + y
+            if begun < b:
+                fields.append((begun, b, key, "url"))
+            head = ""
+            continue
         bare = own.rstrip(".:=")
         quoted = a > 0 and text[a - 1] in "\"'`"
         if bare and _NAME.match(bare) and (text[b - 1] in ":=" or _KEYED.match(text, b) or quoted and _LISTED.match(text, b) or bare.startswith("-")):
@@ -373,6 +396,57 @@ def training_lines(count: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[
         else:  # bare encoded data
             data = base64.b64encode(bytes(r.getrandbits(8) for _ in range(r.choice([48, 60, 75])))).decode()
             add(("", r.choice([f'    "{data}"', data, f"  {data},"]), ""), False)
+    return out + _further_lines(random.Random(seed + 1), count // 4)
+
+
+def _further_lines(r: random.Random, count: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Values without quotes that end before the line does: connection strings, shells, tags, parameters; and code that looks like them."""
+    w = lambda: r.choice(_VOCABULARY)
+    out: list[tuple[str, list[tuple[int, int]]]] = []
+    while len(out) < count:
+        values = _value_kinds(r)
+        name = ([w()] if r.random() < 0.25 else []) + r.choice([["password"], ["passwd"], ["pwd"], ["secret"], ["token"], ["api", "token"], ["access", "token"], ["api", "key"], ["client", "secret"], ["db", "password"], ["auth", "token"]])
+        key, upper, snake = _name(r, name), "_".join(name).upper(), "_".join(name)
+        forms = [
+            (f"Server={w()};{r.choice(['Password', 'Pwd'])}=", f";Database={w()}"), (f'"Host={w()};User Id={w()};Password=', ';"'), (f"{key}: ", f" # {w()} {w()}"), (f"{key} = ", f" ; {w()}"), (f"{upper}=", f" ./{w()}.sh"), (f"export {upper}=", ";"),
+            (f"{upper}=", f" && {w()}"), (f"{w()} --{'-'.join(name)} ", f" --{w()} {w()}"), (f"{w()} --{'-'.join(name)} ", ""), (f"{w()} --{'-'.join(name)}=", f" --{w()} {w()}"), (f"<{snake}>", f"</{snake}>"), (f"  <{key}>", f"</{key}>"),
+            (f"{key}: ", "\\"), (f"# {w()}.{w()}.{r.choice(['key', snake])}=", ""), (f"machine {w()}.test login {w()} password ", ""), (f"login {w()} password ", ""), (f"https://{w()}.test/{w()}?{snake}=", f"&{w()}={r.randint(1, 99)}"), (f"{{{w()}: {r.randint(1, 9)}, {key}: ", f", {w()}: {w()}}}"),
+        ]
+        kind = r.random()
+        if kind < 0.08:
+            a, v, b = f'{w()} = "https://{w()}.test/{w()}?sv={r.randint(2015, 2024)}&sig=', r.choice([values["base64key"].replace("=", "%3D"), values["random"]]), r.choice(['"', f'&se={r.randint(1, 99)}"'])
+        elif kind < 0.14:
+            upper_ = "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16))
+            a, v, b = r.choice(["", "url: ", f"{w()}="]) + "https://hooks.slack.com/services/", f"T{upper_[:8]}/B{upper_[8:]}/{''.join(r.choice(string.ascii_letters + string.digits) for _ in range(24))}", ""
+        elif kind < 0.17:
+            a, v, b = f'{{"{w()}": "{w()}", "{r.choice(["private_key", "key", "privateKey"])}": "', "-----BEGIN PRIVATE KEY-----", ""
+        elif kind < 0.42:
+            a, b = r.choice(forms)
+            v = r.choice([values["password"], values["password"], values["random"], values["hexkey"], values["prefixed"], *(f"{x}{r.randint(1000, 999999)}" for x in (w(), w()[:3], w()[:3])), f"{w()}{r.randint(0, 99)}{r.choice(string.ascii_lowercase)}{r.randint(0, 9)}"])
+            v = re.sub(r"[#;&<>%?]", "-", v)
+        else:
+            n = r.choice(["token", "key", "session", "tokenKey", "secret", "password", "author", f"{w()}_key", f"{w()}Token"])
+            d = lambda: r.choice(["", "", str(r.randint(0, 99))])
+            camel = lambda: w() + "".join(w().title() for _ in range(r.randint(1, 2))) + d()
+            any_ = lambda: r.choice([camel, camel, lambda: w().title() + w().title() + w().title(), lambda: f"{w()}_{w()}{d()}"])()
+            dotted = lambda: any_() + "".join("." + r.choice([w(), camel(), w().title() + w().title()]) for _ in range(r.randint(0, 2)))
+            if kind < 0.5:
+                a, b = r.choice(forms)
+                fill = r.choice(["${TOKEN}", f"${upper}", "changeme", "<password>", f"{w()}_{w()}", f"{w()}{w().title()}", f"{w()}.{w()}", f"{w()}-{w()}", w(), "********", f"your-{w()}", "null", "true", str(r.randint(1, 99999)), "string", "string", f"{w()}.{w()}{w().title()}"])
+                line = a + fill + b
+            elif kind < 0.85:  # names with numbers in code
+                t = r.choice([n, w() + n[:1].upper() + n[1:], w() + w().title() + n[:1].upper() + n[1:] + d(), f"{camel()}.{w().title()}{n.title()}", f"{w()}_{n}_{w()}{d()}", f"{n}{w().title()}{d()}.{w()}", f"{camel()}[{w()}.{n.title()}]"])
+                call = f"{dotted()}({dotted()}, {r.choice([str(r.randint(1, 99999)), camel(), f'{r.randint(1, 99)}.{r.randint(1, 999)}'])})"
+                line = r.choice(
+                    [f"{t} = {call};", f"const {t} = await {call};", f"let {t} = {dotted()} ?? {call};", f"{t} = {dotted()} {r.choice('+-*')} {r.randint(1, 99999)}", f"for _, {n} := range {dotted()} {{ {t} = append({dotted()}, {dotted()}) }}", f"for ({any_()} {n} : {camel()}) {{ {call}; }}", f"return {dotted()}.map(({n}) => {call});", f"const {t} = {dotted()}.filter(({w()}) => {dotted()} > {r.randint(1, 99999)});", f"{dotted()}.set({dotted()}, {{ {camel()}: {r.randint(1, 999)}, {t}: {dotted()} }});", f"export async function {camel()}({camel()}: {any_()}, {t}: number): Promise<{any_()}> {{", f"def {any_()}({t}: {any_()}, {camel()}: int = 3):", f"{t}: {dotted()}, {camel()}: {dotted()} }}", f"if {t} is None: raise ValueError({dotted()})", f"let {t} = {call}?;", f"  {t}: {dotted()},", f"public {any_()} {camel()}({any_()} {t}, int {camel()}) {{", f"{t}={dotted()}, {camel()}={dotted()})", f"{t} = {camel()}[{camel()}], {w()}"]
+                )
+            else:
+                line = r.choice(
+                    [f"if ({n} == null || {w()} != {w()}) {{", f"const {n} = {w()}.{w()}({w()});", f"{n}: {w()}.{w()}, {w()}: {w()}", f"def {w()}({n}: str = None, {w()}: int = {r.randint(1, 9)}):", f"let {n} = {w()}_{w()}; // {w()} {w()}", f"{n} = {w()}[{w()}], {w()}", f"for {n}, {w()} in {w()}.items():", f"{n}: {w().title()}{w().title()}, {w()}: string;", f"{n} := {w()}.{w().title()}{w().title()}({w()}{r.randint(1, 99)})", f"const {{ {n}: {w()}{w().title()}{r.randint(1, 99)}, {w()} }} = {w()};", f"{n} = {w()}_{w()}{r.randint(1, 99)} + {r.randint(1, 99)};", f"fn {w()}({n}: &{w().title()}, {w()}: usize) -> {w().title()} {{", f"https://{w()}.test/{w()}?{n}={w()}&page={r.randint(1, 9)}"]
+                )
+            out.append((line, []))
+            continue
+        out.append((a + v + b, [(len(a), len(a) + len(v))]))
     return out
 
 

@@ -54,3 +54,17 @@ def test_very_long_line(field):
     text = "x(" + "a+b*c;" * 40_000 + ');var q={apiKey:"Zk39fQpLmW2xTy77Qp01aBcD"};'
     spans = S.find([text], field)[0]
     assert [text[a:b] for a, b in spans] == ["Zk39fQpLmW2xTy77Qp01aBcD"]
+
+
+UNQUOTED = {
+    "Server=db;Password=Hunter2x9;Database=app": "Hunter2x9", "password: hunter2x9 # prod": "hunter2x9", "API_TOKEN=abc123456 ./run.sh": "abc123456", "export TOKEN=abc123456;": "abc123456", "mysql --password hunter2x9 --host db": "hunter2x9",
+    "<password>hunter2x9</password>": "hunter2x9", "machine h.test login y password zq81kQw7x": "zq81kQw7x", "https://hooks.slack.com/services/T01ABCDEF/B02GHIJKL/aZ3kQ9mX7pLw2RtY8vBn4cDs": "T01ABCDEF/B02GHIJKL/aZ3kQ9mX7pLw2RtY8vBn4cDs",
+    'u = "https://a.test/c?sv=2020&sig=aZ3kQ9mX7pLw2RtY8vBn4cDsaZ3kQ9mX"': "aZ3kQ9mX7pLw2RtY8vBn4cDsaZ3kQ9mX",
+}
+
+
+def test_values_that_end_before_the_line(field):
+    got = {line: [line[a:b] for a, b in spans] for line, spans in zip(UNQUOTED, S.find(list(UNQUOTED), field), strict=True)}
+    assert got == {line: [value] for line, value in UNQUOTED.items()}
+    code = ["token: str = None, limit: int = 3", "const session = await openSession(row);", "sessionKey = request.key, other", "export TOKEN=${TOKEN};", "<token>name_of_thing</token>", "password: changeme # prod"]
+    assert not any(S.find(code, field))
