@@ -47,6 +47,9 @@ _LINE = re.compile(
     rf"|(?-i:{_PREFIXED})"
     rf"|-----BEGIN )"
 )
+#: Characters of a long line that are labelled at a time, and at least so many more on both sides that are read with them.
+WINDOW, AROUND = 20_000, 2_000
+_BREAK = re.compile(r"[\s\"'`(){}\[\],;]")
 #: What a line must have before it is looked at closely, in lower case.
 _QUICK = re.compile(r"login|user|account|pass|pwd|pw|secret|token|key|cred|auth|session|bearer|://[^/\s]*@|-----begin |akia|asia|aiza|gh[pousr]_|glpat|xox|xapp|[sr]k_|sk-|eyj|ya29|npm_|hf_|sg\.|dop_v1|shp|gl[a-z]{2,4}-|pk_|hooks\.slack|[?&]sig=")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END [A-Z0-9 ]+-----|[A-Za-z0-9+/=\s\\]*)")
@@ -131,12 +134,16 @@ def _shape(value: str) -> list[str]:
     return out
 
 
-def tokens_of(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    """Places and features of the lexical tokens of a line (or of lines that continue it)."""
+def tokens_of(text: str, key: str = "", head: str = "", names: list[tuple[int, str, str]] | None = None) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """Places and features of the lexical tokens of a line (or of lines that continue it).
+
+    ``key`` and ``head`` are those that hold where the text begins; ``names`` is filled with those at each field.
+    """
     fields: list[tuple[int, int, str, str]] = []  # begin, end, key, role
-    key, head = "", ""
     for m in _FIELD.finditer(text):
         a, b = m.span()
+        if names is not None:
+            names.append((a, key, head))
         own = text[a:b]
         named = _ASSIGN.match(own)
         if named:
@@ -506,25 +513,46 @@ def _sections(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _windows(text: str, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+    """Parts of [a, b): where to read from, the part whose labels count, and where to read to; no value lies across a border."""
+    at = a
+    while at < b:
+        ends = []
+        for far in (at + WINDOW, at + WINDOW + AROUND):
+            m = _BREAK.search(text, far, b) if far < b else None
+            ends.append(m.end() if m else b)
+        since = max(a, at - AROUND)
+        while since > a and not _BREAK.match(text, since - 1):
+            since -= 1
+        yield since, at, ends[0], ends[1]
+        at = ends[0]
+
+
 def find(texts: list[str], field: LinearChain) -> list[list[tuple[int, int]]]:
     """The places of the credentials in each text."""
-    where: list[tuple[int, int]] = []
+    where: list[tuple[int, int, int, int, int]] = []
     places: list[list[tuple[int, int]]] = []
     seqs: list[list[list[str]]] = []
     for i, text in enumerate(texts):
         for a, b in _sections(text):
-            # a very long line is cut into overlapping windows around nothing: it is labelled in parts
-            for at in range(a, b, 20_000):
-                p, f = tokens_of(text[at : min(b, at + 20_000)])
-                where.append((i, at))
+            names: list[tuple[int, str, str]] = []
+            for since, begin, end, to in _windows(text, a, b):
+                # the name that holds where the window begins may stand far before
+                _, key, head = next((x for x in reversed(names) if x[0] <= since), (0, "", ""))
+                seen: list[tuple[int, str, str]] | None = [] if to < b else None
+                p, f = tokens_of(text[since:to], key, head, seen)
+                names = [(x + since, k, h) for x, k, h in seen or []]
+                where.append((i, a, since, begin, end))
                 places.append(p)
                 seqs.append(f)
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (i, offset), place, labels in zip(where, places, field.decode(seqs), strict=True):
+    labelled: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for (i, section, since, begin, end), place, labels in zip(where, places, field.decode(seqs), strict=True):
+        labelled.setdefault((i, section), []).extend((a + since, b + since, y) for (a, b), y in zip(place, labels, strict=True) if begin <= a + since < end)
+    for (i, _), tokens in labelled.items():
         text = texts[i]
         spans: list[list[int]] = []
-        for (a, b), y in zip(place, labels, strict=True):
-            a, b = a + offset, b + offset
+        for a, b, y in tokens:
             if y == OUT:
                 continue
             if y == BEGIN or not spans or spans[-1][1] < a and text[spans[-1][1] : a].strip():

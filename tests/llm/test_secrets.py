@@ -68,3 +68,13 @@ def test_values_that_end_before_the_line(field):
     assert got == {line: [value] for line, value in UNQUOTED.items()}
     code = ["token: str = None, limit: int = 3", "const session = await openSession(row);", "sessionKey = request.key, other", "export TOKEN=${TOKEN};", "<token>name_of_thing</token>", "password: changeme # prod"]
     assert not any(S.find(code, field))
+
+
+def test_borders_of_long_lines(field):
+    value = "Zk39fQpLmW2xTy77Qp01aBcD"
+    for at in (*range(19_950, 20_050, 6), 40_000 - 10):
+        head = "x(" + "a+b*c;" * 7_000
+        text = head[: at - 1] + ';var q={apiKey:"' + value + '"};' + "a+b*c;" * 500
+        spans = S.find([text], field)[0]
+        assert [text[a:b] for a, b in spans] == [value], at
+        assert value[-6:] not in S.redact(text, spans) and value[:6] not in S.redact(text, spans)
