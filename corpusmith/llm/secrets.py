@@ -473,7 +473,7 @@ def model() -> LinearChain:
 
 def _continued(text: str, a: int, b: int) -> int:
     """The end of the line [a, b) with the lines on which its last literal goes on."""
-    for _ in range(8):
+    while True:
         m = _CONTINUES.search(text[max(a, b - 200) : b])
         if b >= len(text) or not m:
             return b
@@ -485,7 +485,6 @@ def _continued(text: str, a: int, b: int) -> int:
         elif not _LITERAL.match(text, b + 1) or _QUICK.search(text[b + 1 : more].lower()) and not m.group(1):
             return b
         b = more
-    return b
 
 
 def _sections(text: str) -> list[tuple[int, int]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import string
+
 import pytest
 
 from corpusmith.llm import secrets as S
@@ -78,3 +81,14 @@ def test_borders_of_long_lines(field):
         spans = S.find([text], field)[0]
         assert [text[a:b] for a, b in spans] == [value], at
         assert value[-6:] not in S.redact(text, spans) and value[:6] not in S.redact(text, spans)
+
+
+@pytest.mark.parametrize("count", [12, 900])
+def test_literals_over_many_lines(field, count):
+    r = random.Random(count)
+    parts = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(count)]
+    text = "secretToken = " + " +\n    ".join(f'"{x}"' for x in parts) + ";\nlimit = 3\n"
+    spans = S.find([text], field)[0]
+    assert len(spans) == 1 and text.count("\n", 0, spans[0][0]) == 0
+    out = S.redact(text, spans)
+    assert not any(x[-8:] in out or x[:8] in out for x in parts) and out.endswith(";\nlimit = 3\n")
