@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmith.session import materialize
@@ -42,6 +43,25 @@ def usable(vector: Column, dim: Column, model: Column) -> Column:
     return model.isNotNull() & dim.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
+def directions(rows: DataFrame, vectors: bool = False) -> DataFrame:
+    """vec_id, model, dim and copy of clean rows, with the vector if asked for.
+
+    copy is a hash of the unit vector to six digits: vectors that share it have a cosine of 1 to nine digits.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copy = np.zeros(batch.num_rows, dtype=np.int64)
+            for _, dim, at in _groups(batch):
+                unit = _unit(_vectors(batch.column(3).take(pa.array(at)), dim))
+                marks = np.floor(unit * 1e6 + 0.5).astype(np.int32)
+                copy[at] = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in marks]
+            kept = 4 if vectors else 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(copy)], names=["vec_id", "model", "dim", "vector"][:kept] + ["copy"])
+
+    return rows.mapInArrow(read, "vec_id long, model string, dim int, " + ("vector array<float>, " if vectors else "") + "copy long")
+
+
 def centres_of(sample: np.ndarray, count: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     """Unit centres of ``count`` cells, by spherical k-means."""
     rng = np.random.default_rng(seed)
@@ -143,6 +163,7 @@ def _best(ids: np.ndarray, units: np.ndarray, rows: np.ndarray, against: np.ndar
     """The best k of ``against`` for each of ``rows`` (positions), of at least ``floor``, from tables and reranking."""
     out: list[tuple[int, int, float]] = []
     small = units.astype(np.float32)
+    against = against[np.argsort(ids[against], kind="stable")]
     packed = codes.pairs(codes.encode(small[against])) if codes is not None else None
     for at in range(0, len(rows), 256):
         own = rows[at : at + 256]
@@ -160,6 +181,19 @@ def _best(ids: np.ndarray, units: np.ndarray, rows: np.ndarray, against: np.ndar
             keep = np.argpartition(-part, RERANK - 1, axis=1)[:, :RERANK]
             near[crowded] = False
             near[crowded[:, None], keep] = True
+            # tables decide only as far as their error allows: rows with more candidates than were kept are compared in full
+            sure = np.einsum("qnd,qd->qn", units[against[keep]], units[own[crowded]])
+            error = np.abs(sure - np.take_along_axis(rough[crowded], keep, axis=1)).max()
+            least = np.maximum(np.partition(sure, -min(k, RERANK), axis=1)[:, -min(k, RERANK)], floor)
+            open_ = (part >= least[:, None] - error).sum(axis=1) > (np.take_along_axis(part, keep, axis=1) >= least[:, None] - error).sum(axis=1)
+            if open_.any():
+                again = crowded[open_]
+                full = (units[own[again]] @ units[against].T).round(9)
+                full[ids[own[again]][:, None] == ids[against][None, :]] = -np.inf
+                first = np.argsort(-full, axis=1, kind="stable")[:, :k]
+                near[again] = False
+                near[again[:, None], first] = True
+                near &= ids[own][:, None] != ids[against][None, :]
         q, c = np.nonzero(near)
         exact = np.einsum("nd,nd->n", units[own[q]], units[against[c]]).round(9) if len(q) else np.zeros(0)
         fine = exact >= floor - 1e-9
@@ -257,14 +291,13 @@ def nearest(rows: DataFrame, k: int = K, floor: float = -1.0, reach: int = REACH
     pair is found if its vectors share one of their ``reach`` nearest cells, which is likely the
     more the more similar they are; pairs below ``floor`` are left out. Rows (vec_id, model, dim,
     vector) that aren't usable are ignored; a vec_id that occurs twice counts once. Of vectors that
-    are copies of one another, only the k + 1 smallest ids are searched; the others' neighbours
+    are copies of one another but for their length, only the k + 1 smallest ids are searched; the others' neighbours
     are the k smallest.
     """
     every = clean(rows)
     spark = rows.sparkSession
-    print_ = F.xxhash64("vector")
     same = Window.partitionBy("model", "dim", "copy").orderBy("vec_id")
-    light = every.select("vec_id", "model", "dim", print_.alias("copy")).distinct()
+    light = directions(every).distinct()
     ranked = materialize(light.withColumn("_n", F.row_number().over(same)), "copies")
     firsts = ranked.where(F.col("_n") <= k + 1)
     sizes = [(r["model"], r["dim"], r["count"]) for r in firsts.groupBy("model", "dim").count().collect()]
@@ -273,7 +306,7 @@ def nearest(rows: DataFrame, k: int = K, floor: float = -1.0, reach: int = REACH
     hot = firsts.where(F.col("_n") == k + 1).select("model", "dim", "copy")  # copies that may have more than are searched
     searched = every
     if extra.limit(1).count():  # else there is nothing to take out, and the vectors needn't be shuffled for it
-        searched = every.withColumn("copy", print_).join(extra.select("vec_id", "copy"), ["vec_id", "copy"], "left_anti").select("vec_id", "model", "dim", "vector")
+        searched = directions(every, True).join(extra.select("vec_id", "copy"), ["vec_id", "copy"], "left_anti").select("vec_id", "model", "dim", "vector")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

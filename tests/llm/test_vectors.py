@@ -95,3 +95,22 @@ def test_codes_weigh_the_error_along():
     q = x[:20]
     approx = Codes.scan(codes.tables(q), codes.pairs(codes.encode(x)))
     assert np.abs(approx - q @ decode(codes.encode(x)).T).max() < 1e-4 and np.corrcoef(approx.ravel(), (q @ x.T).ravel())[0, 1] > 0.9
+
+
+def test_dense_groups_and_scaled_copies(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=16) + 0.05 * r.normal(size=(900, 16))
+    x = np.concatenate([x, r.normal(size=(600, 16))])
+    rows = [(i, "m", 16, [float(v) for v in row]) for i, row in enumerate(x)]
+    want = brute(rows, 5, 0.88)
+    monkeypatch.setattr(vectors, "CELL", 10_000)
+    unit = vectors._unit(np.array([v[3] for v in rows], dtype=np.float32))
+    got: dict = {}
+    every = np.arange(len(rows))
+    for a, b, _ in vectors._best(every, unit, every, every, Codes.fit(unit.astype(np.float32)), 5, 0.88):
+        got.setdefault(a, set()).add(b)
+    assert recall(got, want) > 0.99
+    scaled = [(i, "m", 4, [float(v) for v in np.array([1.0, 2.0, -3.0, 0.5]) * 2.0 ** (i % 9)]) for i in range(60)]
+    keys = vectors.directions(spark.createDataFrame(scaled, SCHEMA)).select("copy").distinct().count()
+    assert keys == 1
+    assert found(nearest(spark.createDataFrame(scaled, SCHEMA), 5, 0.5)) == {i: set([j for j in range(60) if j != i][:5]) for i in range(60)}
