@@ -1,8 +1,8 @@
 """Problem 8: packing items of varying size into containers of fixed capacity.
 
 Bounded-space online packing: each partition keeps a fixed number of open containers, puts every
-item where it fits best and, when it fits nowhere, emits the fullest. What is still open at the
-end of a partition is packed again as items in ever fewer partitions.
+item where it fits best and, when it fits nowhere, emits the fullest. Only what is still open at
+the end of a partition is packed again, as items, in ever fewer partitions.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from corpusmith.session import materialize
 
 CAPACITY = 2048
 OPEN = 64
-#: Containers filled at least this far are left alone when leftovers are merged.
-FULL = 0.97
 #: Partitions whose leftovers meet in one partition of the next round.
 FAN_IN = 16
 
@@ -49,11 +47,15 @@ class OpenWindows:
         return number, self.capacity - left, closed
 
 
-def _pack(rows: DataFrame, capacity: int, limit: int, prefix: str) -> DataFrame:
-    """Adds container and offset to rows (item, size) partition by partition; the partitions must be ordered."""
+def _pack(rows: DataFrame, capacity: int, limit: int | None, left: int, prefix: str) -> DataFrame:
+    """Adds container and offset to rows (item, size) partition by partition; the partitions must be ordered.
+
+    ``limit`` containers are open at a time; none bounds the rows of a level that is bounded itself. The
+    ``left`` emptiest that are open at the end come out once more, as rows without item whose size is what they hold.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows, part = OpenWindows(capacity, limit), None
+        windows, part = OpenWindows(capacity, limit or 1 << 30), None
         for batch in batches:
             if not len(batch):
                 continue
@@ -63,6 +65,11 @@ def _pack(rows: DataFrame, capacity: int, limit: int, prefix: str) -> DataFrame:
             batch["bin"] = [f"{prefix}-{part}-{n}" for n, _ in placed]
             batch["offset"] = pd.Series([o for _, o in placed], dtype="int32").to_numpy()
             yield batch[["item", "size", "bin", "offset"]]
+        emptiest = windows.open[-left:]
+        if emptiest:
+            yield pd.DataFrame(
+                {"item": [None] * len(emptiest), "size": [capacity - s for s, _ in emptiest], "bin": [f"{prefix}-{part}-{n}" for _, n in emptiest], "offset": -1}
+            ).astype({"size": "int32", "offset": "int32"})
 
     kind = rows.schema["item"].dataType.simpleString()
     return rows.withColumn("_part", F.spark_partition_id()).mapInPandas(pack, f"item {kind}, size int, bin string, offset int")
@@ -94,19 +101,19 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, limit: int = OPEN) ->
     # ordered by hash, so that sizes come mixed; the item itself settles ties
     count = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mixed = rows.repartition(count, F.xxhash64("item")).sortWithinPartitions(F.xxhash64("item"), "item")
-    placed = materialize(_pack(mixed, capacity, limit, "0"), "packed")
-    fill = placed.groupBy("bin").agg(F.sum("size").cast("int").alias("size"))
-    open_ = fill.where(F.col("size") < FULL * capacity).select(F.col("bin").alias("item"), "size")
+    packed = materialize(_pack(mixed, capacity, limit, limit, "0"), "packed")
+    placed = packed.where("offset >= 0")
+    still_open = lambda level: level.where("offset < 0").select(F.col("bin").alias("item"), "size")
+    open_ = still_open(packed)
     moves: DataFrame | None = None
     level = 1
     while count > 1:
         count = -(-count // FAN_IN)
-        # each partition's leftovers may be a few open containers: best fit, largest first
+        # a partition gets at most limit * FAN_IN open containers: best fit, fullest first
         part = F.pmod(F.split("item", "-")[1].cast("int"), F.lit(count))
-        merged = materialize(
-            _pack(open_.repartition(count, part).sortWithinPartitions(F.desc("size"), "item"), capacity, limit, str(level)), f"merged{level}"
-        )
-        step = merged.select(F.col("item").alias("bin"), F.col("bin").alias("_to"), F.col("offset").alias("_by"))
+        ordered = open_.repartition(count, part).sortWithinPartitions(F.desc("size"), "item")
+        merged = materialize(_pack(ordered, capacity, None, limit if count > 1 else 0, str(level)), f"merged{level}")
+        step = merged.where("offset >= 0").select(F.col("item").alias("bin"), F.col("bin").alias("_to"), F.col("offset").alias("_by"))
         if moves is None:
             moves = step.select("bin", F.col("_to").alias("to"), F.col("_by").alias("by"))
         else:
@@ -114,8 +121,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, limit: int = OPEN) ->
             moves = moves.join(again, "to", "left").select(
                 "bin", F.coalesce("_to", "to").alias("to"), (F.col("by") + F.coalesce("_by", F.lit(0))).cast("int").alias("by")
             )
-        open_ = merged.groupBy("bin").agg(F.sum("size").cast("int").alias("size")).where(F.col("size") < FULL * capacity)
-        open_ = open_.select(F.col("bin").alias("item"), "size")
+        open_ = still_open(merged)
         level += 1
     if moves is not None:
         placed = placed.join(moves, "bin", "left").select(

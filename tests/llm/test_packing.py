@@ -59,3 +59,11 @@ def test_same_result_in_any_order(spark):
     df = spark.createDataFrame(list(enumerate(sizes)), "item long, size int")
     key = lambda rows: sorted((r.item, r.container, r.offset) for r in rows)
     assert key(pack_items(df, 100, 8).collect()) == key(pack_items(df.repartition(7).orderBy("size"), 100, 8).collect())
+
+
+def test_only_open_containers_are_merged(spark):
+    """Items of which no two fit together: all but the open containers stay as their partition closed them."""
+    rows = packed(spark, [65] * 2000)
+    first = {r["container"] for r in rows if r["container"].startswith("0-")}
+    merged = {r["container"] for r in rows} - first
+    assert len(first) + len(merged) == 2000 and len(merged) <= 8 * 4
