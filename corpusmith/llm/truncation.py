@@ -21,6 +21,8 @@ from corpusmith.session import materialize
 
 #: Marks that sources put behind a cut (fixed values).
 MARKS = re.compile(r"\s*(?:…|\.\.\.|\[…\]|\[\.\.\.\]|[\[(<{]\s*(?:truncated|cut|more|continued|snip|read more|message clipped)\s*[\])>}]|read more|\(more\))\s*$", re.IGNORECASE)
+#: Characters that a mark has at most.
+MARK = 200
 TERMINATORS = ".!?。！？؟।｡;；"
 CLOSERS = "\"'”’»)]}`）】」』*_>|"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
@@ -29,6 +31,7 @@ _LEAD = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]\s+|\d+[.)]\s+|#+\s+)?")
 _SENTENCES = re.compile(r"(?<=[.!?])[\"'”’)\]*_`]*\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _WORDS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\s぀-ヿ㐀-鿿가-힯]+")
+_DIGITS = re.compile(r"\d+")
 _FENCES = re.compile(r"```|~~~")
 _LAST_FENCE = re.compile(r"(?:^|\n)\s*(?:```|~~~)$")
 _BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0-9]{0,8})$")
@@ -36,7 +39,7 @@ _BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0
 SEEN = 5
 #: A length piles up in a source if so many texts have it, and so many times the mean of the four lengths around it.
 PILE, PILE_X = 5, 8
-COUNTS_KEPT = 200_000
+COUNTS_KEPT, WORDS_KEPT = 200_000, 200_000
 
 
 def visible_end(text: str) -> str:
@@ -53,7 +56,7 @@ def open_at_end(text: str) -> str | None:
         return None
     if len(_FENCES.findall(text)) % 2:
         return "fence"
-    if _BROKEN.search(text):
+    if _BROKEN.search(text[-12:]):  # none is longer
         return "escape"
     line = text[text.rfind("\n") + 1 :]
     if line.lstrip().startswith("|"):
@@ -84,13 +87,21 @@ def open_at_end(text: str) -> str | None:
     return None
 
 
+class _Spelling(dict):
+    """Words as they count: in lower case, numbers as 0, without marks at their ends; a bounded memory of those seen."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = self[word] = _DIGITS.sub("0", word.lower()).strip("\"'”’“«»()[]{}.,;:!?*_~`。，、；：！？")
+        return found
+
+
+_spelled = _Spelling()
+
+
 def _words(sentence: str) -> list[str]:
-    out = []
-    for w in _WORDS.findall(sentence):
-        w = re.sub(r"\d+", "0", w.lower()).strip("\"'”’“«»()[]{}.,;:!?*_~`。，、；：！？")
-        if w:
-            out.append(w)
-    return out
+    return [w for w in map(_spelled.__getitem__, sentence.split() if sentence.isascii() or not _CJK.search(sentence) else _WORDS.findall(sentence)) if w]
 
 
 def _final(words: list[str]) -> str:
@@ -103,14 +114,17 @@ def _sentences(text: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     code = False
     for line in text.split("\n"):
-        fences = len(_FENCES.findall(line))
+        if not line or line.isspace():
+            continue
+        fences = len(_FENCES.findall(line)) if "```" in line or "~~~" in line else 0
         if fences or code or line.lstrip().startswith("|"):
             code ^= fences % 2 == 1
             continue
-        parts = [s for s in _SENTENCES.split(_LEAD.sub("", line)) if s and s.strip()]
+        parts = [s.strip() for s in _SENTENCES.split(line[_LEAD.match(line).end() :]) if s and not s.isspace()]
+        last = len(parts) - 1
         for i, s in enumerate(parts):
-            s = s.strip()
-            out.append((s, i == len(parts) - 1, s.rstrip(CLOSERS)[-1:] in TERMINATORS and bool(s.rstrip(CLOSERS))))
+            bare = s.rstrip(CLOSERS)
+            out.append((s, i == last, bare[-1:] in TERMINATORS and bool(bare)))
     return out
 
 
@@ -120,7 +134,7 @@ def examine(text: str) -> dict:
     found = {"verdict": None, "marked": False, "open3": None, "open2": None, "open1": None, "n": 0, "final": None, "style": None}
     if not shown:
         return found | {"verdict": "whole"}
-    while (m := MARKS.search(shown)) and m.end() > m.start():
+    while m := MARKS.search(shown, len(shown) - MARK):
         found["marked"] = True
         shown = visible_end(shown[: m.start()])
     if not shown:
@@ -151,47 +165,51 @@ def examine(text: str) -> dict:
 
 
 _SCHEMA = (
-    "kind string, key string, n int, cnt long, doc_id long, source string, chars int, bytes int, text_hash long, "
+    "kind string, key string, n int, cnt long, doc_id long, source string, chars int, text_hash long, "
     "verdict string, marked boolean, open3 string, open2 string, open1 string, final string, style string"
 )
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
-    counts: Counter = Counter()
+    words_: Counter = Counter()
+    ends: Counter = Counter()
+    opens: tuple[Counter, ...] = (Counter(), Counter(), Counter())
 
     def flush() -> pd.DataFrame:
-        rows = [(kind, key, n, c, *[None] * (len(columns) - 4)) for (kind, key, n), c in counts.items()]
-        counts.clear()
-        return pd.DataFrame(rows, columns=columns)
+        rows = [("word", w, 0, c) for w, c in words_.items()] + [("end", w, 0, c) for w, c in ends.items()]
+        rows += [(f"open{k}", key, n, c) for k, own in enumerate(opens, 1) for (key, n), c in own.items()]
+        for own in (words_, ends, *opens):
+            own.clear()
+        out = pd.DataFrame(rows, columns=columns[:4]).astype({"n": "int32"})
+        return out.assign(**dict.fromkeys(columns[4:]))
 
     for batch in batches:
         docs = []
         for doc, text, source, hashed in zip(batch["doc_id"], batch["text"], batch["source"], batch["text_hash"], strict=True):
             e = examine(text)
-            stripped = visible_end(text)
-            docs.append(("doc", None, e["n"], None, doc, source, len(text), len(text.encode()), hashed, e["verdict"], e["marked"], e["open3"], e["open2"], e["open1"], e["final"], e["style"]))
-            told = _sentences(stripped)
+            docs.append(("doc", None, e["n"], None, doc, source, len(text), hashed, e["verdict"], e["marked"], e["open3"], e["open2"], e["open1"], e["final"], e["style"]))
+            told = _sentences(visible_end(text))
+            last = len(told) - 1
             for i, (s, whole_line, terminated) in enumerate(told):
                 words = _words(s)
                 if not words:
                     continue
-                for w in words:
-                    counts[("word", w, 0)] += 1
+                words_.update(words)
                 if _CJK.match(words[-1]):
-                    for a, b in zip(words, words[1:], strict=False):
-                        counts[("word", a + b, 0)] += 1
-                if (i < len(told) - 1 and (whole_line or terminated)) or (i == len(told) - 1 and terminated and e["verdict"] == "whole"):
+                    words_.update(map("".join, zip(words, words[1:], strict=False)))
+                if (i < last and (whole_line or terminated)) or (i == last and terminated and e["verdict"] == "whole"):
                     n = min(len(words), 200)
-                    counts[("end", _final(words), 0)] += 1
-                    for k in (1, 2, 3):
-                        counts[(f"open{k}", " ".join(words[:k]), n)] += 1
-            if len(counts) > COUNTS_KEPT:
-                yield flush().astype({"n": "int32"})
+                    ends[_final(words)] += 1
+                    opens[0][words[0], n] += 1
+                    opens[1][" ".join(words[:2]), n] += 1
+                    opens[2][" ".join(words[:3]), n] += 1
+            if len(words_) + len(opens[2]) > COUNTS_KEPT:
+                yield flush()
         if docs:
             yield pd.DataFrame(docs, columns=columns)
-    if counts:
-        yield flush().astype({"n": "int32"})
+    if words_:
+        yield flush()
 
 
 def find_truncated(documents: DataFrame) -> DataFrame:
@@ -220,8 +238,10 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     )
     closing = (
         docs.where("verdict is null and style = 'line'")
+        .select("open1", "n", "text_hash")
+        .distinct()
         .groupBy("open1", "n")
-        .agg(F.approx_count_distinct("text_hash", 0.02).alias("closes"), F.approx_count_distinct("source").alias("sources"))
+        .agg(F.count("*").alias("closes"))
         .where(F.col("closes") >= SEEN)
     )
     texts_of = docs.groupBy("source", "chars").agg(F.count("*").alias("here"))
