@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusmith.session import materialize
+from corpusmith.session import materialize, release
 
 #: Changes of a session are looked up in blocks of this many sequence numbers, so that the
 #: events of one hot key never have to meet in one task.
@@ -23,8 +23,8 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.filter(parts, lambda s: (s != "") & (s != ".")), "/")
 
 
-def clean_changes(changes: DataFrame) -> DataFrame:
-    """One row per (session_id, sequence), in normal spelling.
+def clean_changes(changes: DataFrame, *kept: str) -> DataFrame:
+    """One row per (session_id, sequence), in normal spelling, with the columns ``kept`` that depend on the session.
 
     op is trimmed and in lower case, blob_hash in lower case (empty counts as null), paths are
     normal. Of repeated deliveries the last received counts; ties go to the spelling that sorts
@@ -39,56 +39,60 @@ def clean_changes(changes: DataFrame) -> DataFrame:
         blank(normal_path(F.col("path"))).alias("path"),
         blank(normal_path(F.col("old_path"))).alias("old_path"),
         blank(F.lower(F.trim("blob_hash"))).alias("blob_hash"),
-        "received_at",
-    ).where("session_id is not null and sequence is not null and path is not null and op in ('upsert', 'delete', 'rename')")
+        "received_at", *kept,
+    ).where("session_id is not null and sequence is not null and path is not null and op in ('upsert', 'delete', 'rename')")
     latest = Window.partitionBy("session_id", "sequence").orderBy(
         *(F.col(c).desc_nulls_last() for c in ("received_at", "op", "path", "old_path", "blob_hash"))
     )
     return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n", "received_at")
 
 
-def _lookups(events: DataFrame) -> DataFrame:
-    """For each event that refers to another key, the last event on that key before it.
+def _lookups(events: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each of ``refs``, the last event on the key it refers to before it.
 
     Within a block by a window; where the block has none, by the last event of the key's earlier
     blocks. Both groups are bounded by the number of a key's blocks and the block's size.
     """
     block = F.floor(F.col("sequence") / LOOKUP_BLOCK).alias("block")
-    place = ["workspace_id", "key", "revision", "session_id", "block"]
-    found = F.struct("kind", "blob_hash", "event_id").alias("held")
-    sets = events.select("workspace_id", "key", "revision", "session_id", block, "sequence", "phase", found, F.lit(None).cast("string").alias("asks"))
-    asks = events.where("kind = 'ref'").select(
-        "workspace_id", F.col("ref").alias("key"), "revision", "session_id", block, "sequence",
-        F.lit(-1).alias("phase"), F.lit(None).cast(sets.schema["held"].dataType).alias("held"), F.col("event_id").alias("asks"),
+    place = ["workspace_id", "key", "turn", "block"]
+    wanted = refs.select("workspace_id", F.col("ref").alias("key")).distinct()
+    found = F.struct("kind", "blob_hash", "turn", "sequence").alias("held")
+    sets = events.join(wanted, ["workspace_id", "key"], "left_semi").select("workspace_id", "key", "turn", block, "sequence", "phase", found)
+    sets = materialize(sets, "sets").withColumn("asks", F.lit(False))
+    asks = refs.select(
+        "workspace_id", F.col("ref").alias("key"), "turn", block, "sequence", F.lit(-1).alias("phase"),
+        F.lit(None).cast(sets.schema["held"].dataType).alias("held"), F.lit(True).alias("asks"),
     )
     before = Window.partitionBy(*place).orderBy("sequence", "phase").rowsBetween(Window.unboundedPreceding, -1)
-    near = sets.unionByName(asks).withColumn("near", F.last("held", ignorenulls=True).over(before)).where("asks is not null").select(*place, "asks", "near")
-    last = sets.groupBy(*place).agg(F.max_by("held", F.struct("sequence", "phase")).alias("held"))
+    near = sets.unionByName(asks).withColumn("near", F.last("held", ignorenulls=True).over(before)).where("asks").select(*place, "sequence", "near")
+    last = sets.groupBy(*place).agg(F.max(F.struct("sequence", "phase", "held"))["held"].alias("held"))
     blocks = last.unionByName(near.where("near is null").select(*place).distinct(), allowMissingColumns=True)
     blocks = blocks.groupBy(*place).agg(F.max("held").alias("held"))
-    earlier = Window.partitionBy("workspace_id", "key").orderBy("revision", "session_id", "block").rowsBetween(Window.unboundedPreceding, -1)
-    far = blocks.select(*place, F.last("held", ignorenulls=True).over(earlier).alias("far"))
-    keys = [F.col(f"n.{c}").eqNullSafe(F.col(f"f.{c}")) for c in place]
-    missing = near.where("near is null").alias("n").join(far.alias("f"), keys, "left").select("asks", F.col("far").alias("held"))
-    return near.where("near is not null").select("asks", F.col("near").alias("held")).unionByName(missing)
+    earlier = Window.partitionBy("workspace_id", "key").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    far = blocks.select(*place, F.last("held", ignorenulls=True).over(earlier).alias("held"))
+    missing = near.where("near is null").join(far, place, "left").select("turn", "sequence", "held")
+    return near.where("near is not null").select("turn", "sequence", F.col("near").alias("held")).unionByName(missing)
 
 
-def _carried(events: DataFrame) -> DataFrame:
-    """event_id and blob_hash of what each referring event carries over; null where nothing was held."""
+def _carried(events: DataFrame, refs: DataFrame) -> DataFrame:
+    """turn, sequence and blob_hash of what each referring event carries over; null where nothing was held."""
+    by = lambda kind: F.col("held.kind") == kind
     links = materialize(
-        _lookups(events).select(
-            F.col("asks").alias("event_id"),
-            F.when(F.col("held.kind") == "set", F.col("held.blob_hash")).alias("blob_hash"),
-            F.when(F.col("held.kind") == "ref", F.col("held.event_id")).alias("next"),
+        _lookups(events, refs).select(
+            "turn", "sequence", F.when(by("set"), F.col("held.blob_hash")).alias("blob_hash"),
+            F.when(by("ref"), F.col("held.turn")).alias("turn_"), F.when(by("ref"), F.col("held.sequence")).alias("sequence_"),
         ),
         "links",
-    )
-    while links.where("next is not null").limit(1).count():
-        ahead = links.select(F.col("event_id").alias("next"), F.col("blob_hash").alias("_blob"), F.col("next").alias("_next"))
-        links = materialize(
-            links.join(ahead, "next", "left").select("event_id", F.coalesce("blob_hash", "_blob").alias("blob_hash"), F.col("_next").alias("next")), "links"
+    )
+    while links.where("turn_ is not null").limit(1).count():
+        ahead = links.select(F.col("turn").alias("turn_"), F.col("sequence").alias("sequence_"), F.col("blob_hash").alias("_blob"), F.col("turn_").alias("_turn"), F.col("sequence_").alias("_sequence"))
+        done = links.where("turn_ is null")
+        jumped = links.where("turn_ is not null").join(ahead, ["turn_", "sequence_"], "left").select(
+            "turn", "sequence", F.col("_blob").alias("blob_hash"), F.col("_turn").alias("turn_"), F.col("_sequence").alias("sequence_")
         )
-    return links.select("event_id", F.col("blob_hash").alias("carried"))
+        before, links = links, materialize(done.unionByName(jumped), "links")
+        release(before)
+    return links.select("turn", "sequence", F.col("blob_hash").alias("carried"))
 
 
 def apply_change_feed(base: DataFrame, changes: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -107,9 +111,13 @@ def apply_change_feed(base: DataFrame, changes: DataFrame, sessions: DataFrame)
         sessions.where("lower(trim(status)) = 'committed'")
         .groupBy(F.col("id").alias("session_id"))
         .agg(F.max("workspace_id").alias("workspace_id"), F.max("base_revision").alias("revision"))
+        .where("session_id is not null and workspace_id is not null")
     )
-    ordered = clean_changes(changes).join(committed, "session_id").where("workspace_id is not null")
-    identity = F.concat_ws("#", "session_id", F.col("sequence").cast("string"))
+    # numbers that rise over a total order, whatever the partitions: turns of sessions
+    turns = committed.orderBy(F.col("revision").asc_nulls_first(), "session_id").select("session_id", "workspace_id", (F.monotonically_increasing_id() + 1).alias("turn"))
+    turns = materialize(turns, "turns")
+    kept = changes.drop("workspace_id", "turn").join(turns, "session_id")  # others' changes aren't shuffled
+    ordered = clean_changes(kept, "workspace_id", "turn")
     null = F.lit(None).cast("string")
     event = lambda key, phase, kind, blob, ref: F.struct(
         key.alias("key"), F.lit(phase).alias("phase"), kind.alias("kind"), blob.alias("blob_hash"), ref.alias("ref")
@@ -129,25 +137,16 @@ def apply_change_feed(base: DataFrame, changes: DataFrame, sessions: DataFrame)
             )
         )
     )
-    moved = ordered.select("workspace_id", "revision", "session_id", "sequence", identity.alias("event_id"), F.inline(as_events))
-    start = (
-        base.select("workspace_id", normal_path(F.col("path")).alias("key"), F.lower(F.trim("blob_hash")).alias("blob_hash"))
-        .where("workspace_id is not null and key != ''")
-        .groupBy("workspace_id", "key")
-        .agg(F.max("blob_hash").alias("blob_hash"))
-        .select(
-            "workspace_id", F.lit(None).cast("long").alias("revision"), null.alias("session_id"), F.lit(0).cast("long").alias("sequence"),
-            null.alias("event_id"), "key", F.lit(0).alias("phase"), F.lit("set").alias("kind"), "blob_hash", null.alias("ref"),
-        )
-    )
-    events = materialize(start.unionByName(moved), "events")
-    newest = Window.partitionBy("workspace_id", "key").orderBy(
-        F.col("revision").desc_nulls_last(), F.col("session_id").desc_nulls_last(), F.col("sequence").desc(), F.col("phase").desc()
-    )
-    final = events.withColumn("_n", F.row_number().over(newest)).where("_n = 1 and kind != 'gone'")
-    carried = _carried(events)
-    return (
-        final.join(carried, "event_id", "left")
-        .where("kind = 'set' or carried is not null")
-        .select("workspace_id", F.col("key").alias("path"), F.coalesce("blob_hash", "carried").alias("blob_hash"))
-    )
+    moved = materialize(ordered.select("workspace_id", "turn", "sequence", F.inline(as_events)), "events")
+    start = base.select(
+        "workspace_id", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("sequence"), normal_path(F.col("path")).alias("key"),
+        F.lit(0).alias("phase"), F.lit("set").alias("kind"), F.lower(F.trim("blob_hash")).alias("blob_hash"),
+    ).where("workspace_id is not null and key != ''")
+    events = start.unionByName(moved.drop("ref"))
+    newest = Window.partitionBy("workspace_id", "key").orderBy(F.desc("turn"), F.desc("sequence"), F.desc("phase"), F.col("blob_hash").desc_nulls_last())
+    final = events.withColumn("_n", F.row_number().over(newest)).where("_n = 1 and kind != 'gone'").select("workspace_id", F.col("key").alias("path"), "kind", "turn", "sequence", "blob_hash")
+    final = materialize(final, "final")
+    refs = moved.where("kind = 'ref'").select("workspace_id", "ref", "turn", "sequence")
+    carried = _carried(events, refs).where("carried is not null")
+    told = final.where("kind = 'ref'").join(carried, ["turn", "sequence"]).select("workspace_id", "path", F.col("carried").alias("blob_hash"))
+    return final.where("kind = 'set'").select("workspace_id", "path", "blob_hash").unionByName(told)
