@@ -30,24 +30,32 @@ class Profile:
 
 # The words that begin declarations, how they end, how far they may be indented, and comment marks.
 _C = ("//", "/*", "*", "*/")
-_MODIFIED = r"^(?:(?:{0}|@\w+(?:\([^)]*\))?)\s+)*(?:{1})\b"
+_SCRIPT = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:{})\s+"
+_PREPROCESSOR = r"^#\s*(?:include|define|ifdef|ifndef|endif|pragma)\b"
+_OBJECTIVE = Profile(re.compile(r"^(?:@interface|@implementation|@protocol)\b|^[-+]\s*\("), "brace", 0, _C)
 PROFILES = {
-    "typescript": Profile(re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|namespace|const|let|var)\s+"), "brace", 2, _C),
-    "javascript": Profile(re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var)\s+"), "brace", 2, _C),
+    "typescript": Profile(re.compile(_SCRIPT.format(r"function\*?|class|interface|type|enum|namespace|const|let|var")), "brace", 2, _C),
+    "tsx": Profile(re.compile(_SCRIPT.format(r"function\*?|class|interface|type|enum|const|let|var")), "brace", 2, _C),
+    "javascript": Profile(re.compile(_SCRIPT.format(r"function\*?|class|const|let|var")), "brace", 2, _C),
     "python": Profile(re.compile(r"^(?:async\s+)?(?:def|class)\s+|^@[\w.]+"), "indent", 0, ("#",), ("@",)),
     "ruby": Profile(re.compile(r"^(?:module|class|def)\s+"), "indent", 0, ("#",)),
     "go": Profile(re.compile(r"^(?:func|type|const|var)\s+"), "brace", 0, _C, ("//go:",)),
     "rust": Profile(re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|mod|const|type|static)\s+"), "brace", 0, (*_C, "///", "#["), ("#[", "#!")),
-    "java": Profile(re.compile(_MODIFIED.format("public|private|protected|static|final|abstract|synchronized|native|default", r"class|interface|enum|record|@interface|[\w<>\[\],.?]+\s+\w+\s*\(")), "brace", 2, (*_C, "@"), ("@", "[")),
-    "kotlin": Profile(re.compile(_MODIFIED.format("public|private|protected|internal|open|abstract|sealed|data|inner|companion|suspend|override|final", "fun|class|interface|object|enum|typealias|val|var")), "brace", 2, (*_C, "@"), ("@", "[")),
-    "csharp": Profile(re.compile(_MODIFIED.format("public|private|protected|internal|static|sealed|abstract|partial|async|override|virtual|extern", r"class|interface|struct|enum|record|namespace|[\w<>\[\],.?]+\s+\w+\s*\(")), "brace", 2, (*_C, "["), ("@", "[")),
-    "c": Profile(re.compile(r"^#\s*(?:include|define|ifdef|ifndef|endif|pragma)\b|^(?:typedef\s+)?(?:struct|enum|union)\s+\w+|^(?!(?:if|for|while|switch|return)\b)[A-Za-z_][\w\s*]*\([^;]*$"), "brace", 0, _C),
-    "cpp": Profile(re.compile(r"^#\s*(?:include|define|ifdef|ifndef|endif|pragma)\b|^(?:namespace|class|struct|enum)\s+|^template\s*<|^(?!(?:if|for|while|switch|return)\b)[A-Za-z_][\w\s*&:<>,~]*\([^;]*$"), "brace", 0, _C),
-    "swift": Profile(re.compile(_MODIFIED.format("public|private|internal|open|fileprivate|static|final|override|mutating|async", "func|class|struct|enum|protocol|extension|actor|typealias")), "brace", 2, (*_C, "@")),
-    "php": Profile(re.compile(_MODIFIED.format("public|private|protected|static|final|abstract", "function|class|interface|trait|enum")), "brace", 2, (*_C, "#")),
+    "java": Profile(re.compile(r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|@\w+(?:\([^)]*\))?)\s+)*(?:class|interface|enum|record|@interface)\s+\w+"), "brace", 2, (*_C, "@"), ("@", "[")),
+    "kotlin": Profile(re.compile(r"^(?:(?:public|private|protected|internal|open|abstract|sealed|data|inner|companion|suspend|override|final)\s+)*(?:fun|class|interface|object|enum\s+class|data\s+class|sealed\s+class)\s+"), "brace", 2, (*_C, "@"), ("@", "[")),
+    "scala": Profile(re.compile(r"^(?:(?:private|protected|override|final|abstract|sealed|case|implicit|lazy)\s+)*(?:class|object|trait|def|val|var|type)\s+"), "brace", 2, (*_C, "@")),
+    "csharp": Profile(re.compile(r"^(?:(?:public|private|protected|internal|static|sealed|abstract|partial|async|override|virtual|extern)\s+)*(?:class|interface|struct|enum|record|namespace|void|[\w<>,\[\]]+)\s+\w+"), "brace", 2, (*_C, "["), ("@", "[")),
+    "c": Profile(re.compile(_PREPROCESSOR + r"|^(?:typedef\s+)?(?:struct|enum|union)\s+\w+|^(?!(?:if|for|while|switch)\b)(?:(?:static|inline|extern|const|unsigned|signed|volatile|_Noreturn)\s+)*(?:struct\s+\w+|enum\s+\w+|union\s+\w+|[A-Za-z_]\w*)(?:\s+|\s*\*+\s*)[A-Za-z_]\w*\s*\("), "brace", 0, _C),
+    "cpp": Profile(re.compile(_PREPROCESSOR + r"|^namespace\s+|^template\s*<|^(?:(?:inline|static|virtual|constexpr|explicit|friend|const|volatile)\s+)*(?:class|struct|enum|using)\s+|^(?:template\s*<[^;{]*>\s*)?[\w:<>*&~\s]+\s+[A-Za-z_~]\w*\s*\("), "brace", 0, _C),
+    "objective-c": _OBJECTIVE,
+    "objective-cpp": _OBJECTIVE,
+    "swift": Profile(re.compile(r"^(?:(?:public|private|internal|open|fileprivate|static|final|override|mutating|async)\s+)*(?:func|class|struct|enum|protocol|extension|actor|typealias)\s+"), "brace", 2, (*_C, "@")),
+    "dart": Profile(re.compile(r"^(?:abstract|class|mixin|extension|enum|typedef)\s+|^(?:(?:static|final|const|Future|void|[\w<>,\s?]+)\s+)?[A-Za-z_]\w*\s*\("), "brace", 2, (*_C, "@")),
+    "php": Profile(re.compile(r"^(?:(?:public|private|protected|static|final|abstract)\s+)*(?:function|class|interface|trait|enum)\s+"), "brace", 2, (*_C, "#")),
     "markdown": Profile(re.compile(r"^#{1,3}\s+"), "heading", 0, ()),
 }
-_PLAIN = Profile(re.compile(r"(?!)"), "brace", 0, _C)
+#: Of all other languages.
+_PLAIN = Profile(re.compile(r"^(?:function|class|def|fn|func|struct|type|interface|enum)\s+", re.IGNORECASE), "brace", 2, ("//", "#", "/*", "*"))
 _KEYWORD = re.compile(r"\b(?:function|class|def|fn|func|interface|type|enum|struct|impl|trait|module|namespace)\b", re.IGNORECASE)
 _MEMBER = re.compile(r"^\s+(?:(?:public|private|protected|static|async|override|abstract|final|export|pub|get|set|virtual|inline|suspend|open|internal|readonly|def|fn|func|fun|function)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*\(")
 _NOT_MEMBERS = {"if", "for", "while", "switch", "catch", "return", "function", "super", "assert", "await", "new", "throw", "with", "elif", "print", "constructor_"}
@@ -150,7 +158,7 @@ class Chunker:
             found = [(i, name) for i, name in found if self.indents[i] <= least + 2]
         if len(found) < 2:
             return []
-        owner = next(iter(names_of(self._text(a, min(b, a + 5)))), None)
+        owner = next(iter(names_of(self._text(a, min(b, a + 5)), self.language)), None)
         mark = "#" if "#" in self.profile.comments else "//"
         prefix = f"{mark} Context: {self.lines[a].strip()[:160]}\n"
         out, before = [], a
@@ -206,7 +214,7 @@ class Chunker:
             made.append(
                 {
                     "id": hashlib.sha256(name.encode("utf-8", "surrogatepass")).hexdigest()[:16], "path": self.path, "language": self.language, "start_line": a + 1, "end_line": span.end,
-                    "content": text, "symbol": span.symbol or next(iter(names_of(text)), None), "hash": digest,
+                    "content": text, "symbol": span.symbol or next(iter(names_of(text, self.language)), None), "hash": digest,
                 }
             )
         return made
@@ -215,7 +223,9 @@ class Chunker:
 def language_by_name(path: str) -> str:
     """The language by a path's name or extension, else ``text``."""
     base = path.rsplit("/", 1)[-1].lower()
-    extension = base.rsplit(".", 1)[-1] if "." in base else ""
+    if base.startswith("dockerfile."):
+        return "dockerfile"
+    extension = base.rsplit(".", 1)[-1] if "." in base[1:] else ""
     return rules.LANGUAGE_BY_NAME.get(base) or rules.LANGUAGE_BY_EXTENSION.get(extension) or extension or "text"
 
 

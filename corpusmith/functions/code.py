@@ -8,37 +8,49 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-# Declarations by language family, words that aren't names, and import forms.
+# The forms of declarations in the order in which they are looked for, words that aren't names, and import forms.
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|readonly|override|abstract|async|get|set|final|open|suspend)\s+)*"
+_TYPED = r"(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|override|virtual|async|open|sealed|extern)\s+)*"
+_NATIVE = r"(?:(?:static|inline|extern|const|unsigned|signed|volatile|constexpr|virtual|explicit|friend)\s+)*"
+_VALUE = r"(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)"
 _DECLARATIONS = [
-    re.compile(p, re.MULTILINE)
+    re.compile(p, re.MULTILINE | re.ASCII)
     for p in (
-        r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)",
-        r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
-        r"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|type|enum|namespace)\s+([A-Za-z_$][\w$]*)",
-        r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*[:=]",
-        r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)",
-        r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-        r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b",
-        r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|mod|type|const)\s+([A-Za-z_]\w*)",
-        r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?([A-Za-z_]\w*)",
-        r"^\s*(?:public|private|protected|internal)\s+(?:static\s+|final\s+|abstract\s+|async\s+)*(?:class|interface|enum|record)\s+([A-Za-z_]\w*)",
-        r"^\s*(?:public|private|protected)\s+(?:static\s+|final\s+|synchronized\s+|async\s+)*[\w<>\[\],.? ]+\s+([A-Za-z_]\w*)\s*\(",
+        r"(?:function\*?|class|interface|type|enum|def|fn|func|struct|trait|mod|fun|protocol|extension|namespace|record|object|actor)\s+([A-Za-z_$][\w$]*)",
+        r"(?:const|let|var|val)\s+([A-Za-z_$][\w$]*)\s*=",
+        r"func\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)",
+        r"\bfunc\s+\([^)]*\)\s+([A-Za-z_$][\w$]*)\s*\(",
+        rf"^\s*{_MODIFIERS}\*?([A-Za-z_$][\w$]*)\s*(?:<[^>{{}}]*>)?\s*\([^;{{}}]*\)\s*(?::[^{{]+)?\{{",
+        rf"^\s*{_TYPED}(?:[\w$<>\[\],.?]+\s+)+([A-Za-z_$][\w$]*)\s*\([^;{{}}]*\)\s*(?:throws\s+[^{{]+)?\{{",
+        rf"^\s*([A-Za-z_$][\w$]*)\s*:\s*{_VALUE}",
+        rf"\b(?:exports|module\.exports|prototype)\.([A-Za-z_$][\w$]*)\s*=\s*{_VALUE}",
+        rf"^\s*(?!(?:if|for|while|switch|catch|return)\b){_NATIVE}(?:[\w:<>*&~\s]+?)\s+([A-Za-z_~][\w]*)\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{{",
+        r"\b([A-Za-z_$][\w$]*)\s*\([^;{]*\)\s*\{",
+        r"^#+\s+(.+)$",
     )
 ]
-_NOT_NAMES = {"if", "for", "while", "switch", "return", "catch", "new", "else", "do", "case", "try", "with", "function", "class"}
-_COMMENTS = re.compile(r"/\*.*?\*/|(?<!:)//[^\n]*|(?m:^\s*#(?!\[|include|define)[^\n]*)", re.DOTALL)
+_NOT_NAMES = {"catch", "constructor", "describe", "for", "if", "it", "return", "switch", "test", "while"}
+NAME_CHARS = 120
 _SCRIPT_IMPORT = re.compile(r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)[\"']([^\"'\n]+)[\"']")
 _PYTHON_IMPORT = re.compile(r"^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w., ]+))", re.MULTILINE)
 _GO_IMPORT = re.compile(r"^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"|^\s*import\s*\(([^)]*)\)", re.MULTILINE)
 
 
-def names_of(content: str | None) -> list[str]:
-    """The declared names, each once, in the order in which they come; comments don't count."""
+def _uncommented(content: str, language: str | None) -> str:
+    """The text in which names are looked for: without comments, but for documents."""
+    if language == "markdown":
+        return content
+    code = re.sub(r"//.*", "", re.sub(r"/\*[\s\S]*?\*/", "\n", content))
+    return re.sub(r"(?m)^\s*#.*$", "", code) if language in ("python", "ruby") else code
+
+
+def names_of(content: str | None, language: str | None = None) -> list[str]:
+    """The declared names, each once, form by form and in each in the order in which they come; at most NAME_CHARS characters of each."""
     if not content:
         return []
-    code = _COMMENTS.sub("", content)
-    found = sorted((m.start(1), m.group(1)) for p in _DECLARATIONS for m in p.finditer(code))
-    return list(dict.fromkeys(n for _, n in found if n not in _NOT_NAMES))
+    code = _uncommented(content, language)
+    found = (n.strip()[:NAME_CHARS] for form in _DECLARATIONS for n in form.findall(code))
+    return list(dict.fromkeys(n for n in found if n and n.lower() not in _NOT_NAMES))
 
 
 def _below(path: str, target: str) -> str:
@@ -66,9 +78,9 @@ def imports_of(path: str | None, content: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def names(content: pd.Series) -> pd.Series:
-    """:func:`names_of` of a column."""
-    return content.map(names_of)
+def names(content: pd.Series, language: pd.Series) -> pd.Series:
+    """:func:`names_of` of two columns."""
+    return pd.Series([names_of(c, l) for c, l in zip(content, language, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -61,11 +61,39 @@ CORE_FILE = re.compile(r"\.(?:c|cc|cpp|go|java|kt|rs|py|ts|js)$", _I)
 #: Weights of rank fusion, features and meaning by intent.
 WEIGHTS = {"none": (0.45, 0.55, 0.0), "symbol": (0.24, 0.48, 0.28), "path": (0.24, 0.48, 0.28), "concept": (0.20, 0.40, 0.40), "history": (0.32, 0.50, 0.18), "mixed": (0.22, 0.40, 0.38)}
 
-# --- languages ---------------------------------------------------------------------------------
-LANGUAGE_BY_NAME = {"dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake", "jenkinsfile": "groovy", "gemfile": "ruby", "rakefile": "ruby"}
+# --- files and languages (fixed values) --------------------------------------------------------
+#: Rules that hold before a tree's own ignore files.
+DEFAULT_IGNORES = (
+    # dependencies and version control
+    "node_modules/ bower_components/ jspm_packages/ vendor/ Pods/ Carthage/ .bundle/ .git/ .svn/ .hg/ "
+    # output
+    "dist/ build/ out/ output/ bin/ obj/ target/ Debug/ Release/ cmake-build-*/ coverage/ .coverage/ htmlcov/ .nyc_output/ .next/ .nuxt/ .turbo/ .cache/ .parcel-cache/ .svelte-kit/ .vercel/ .netlify/ storybook-static/ "
+    "__pycache__/ .venv/ venv/ .tox/ .mypy_cache/ .pytest_cache/ .ruff_cache/ *.egg-info/ .eggs/ "
+    # minified files and locks
+    "*.min.js *.min.css *.map *.lock package-lock.json pnpm-lock.yaml yarn.lock bun.lockb Cargo.lock poetry.lock Pipfile.lock composer.lock Gemfile.lock go.sum "
+    # secrets
+    ".env .env.* !.env.example !.env.sample *.pem *.key *.p12 *.pfx id_rsa id_dsa id_ecdsa id_ed25519 credentials.json service-account*.json "
+    # editors and systems
+    ".idea/ .vscode/ *.swp *.swo *~ .DS_Store Thumbs.db desktop.ini "
+    # binaries and media
+    "*.png *.jpg *.jpeg *.gif *.webp *.ico *.svg *.pdf *.zip *.tar *.gz *.7z *.rar *.woff *.woff2 *.ttf *.eot *.mp4 *.mp3 *.wav *.wasm *.bin *.exe *.dll *.so *.dylib *.class *.jar *.war *.ear *.o *.a *.lib *.obj *.pyc *.pyo *.pdb *.ilk "
+    # made by tools
+    "*.generated.* *_generated.* *.g.dart *.freezed.dart generated/ gen/ third_party/ third-party/ "
+    # heavy trees of tests
+    "**/androidHostTest/ **/androidTest/ **/jvmTest/ **/commonTest/ **/hostTest/ **/benchmarks/ **/fuzzing/ **/testdata/ **/test-data/"
+).split()
+#: Extensions of files that are read.
+TEXT_EXTENSIONS = (
+    "ts tsx js jsx mjs cjs mts cts py pyi go rs java kt kts scala groovy c cc cpp cxx c++ h hh hpp hxx h++ inl ipp cs fs fsx vb swift m mm vue svelte astro "
+    "rb php pl pm lua r jl ex exs erl hrl hs lhs clj cljs cljc edn zig nim dart sol md mdx rst txt json jsonc json5 yaml yml toml ini cfg conf xml html htm css scss less sass "
+    "sql graphql gql proto thrift avsc cmake gradle tf hcl bicep nix sh bash zsh fish ps1 bat cmd dockerfile"
+).split()
+#: Names of files that are read and have a language whatever their extension; ``dockerfile.*`` counts as a dockerfile.
+LANGUAGE_BY_NAME = {"dockerfile": "dockerfile", "makefile": "makefile", "gnumakefile": "makefile", "cmakelists.txt": "cmake", "build.gradle": "gradle", "build.gradle.kts": "gradle", "pom.xml": "xml"}
 LANGUAGE_BY_EXTENSION = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
-    "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift",
-    "scala": "scala", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css",
-    "scss": "scss", "vue": "vue", "svelte": "svelte", "xml": "xml", "proto": "proto", "lua": "lua", "r": "r", "dart": "dart", "ex": "elixir", "exs": "elixir",
+    "ts": "typescript", "tsx": "tsx", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
+    "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "groovy": "groovy", "rb": "ruby", "php": "php",
+    "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "h": "c", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "h++": "cpp", "inl": "cpp", "ipp": "cpp", "cs": "csharp", "fs": "fsharp",
+    "swift": "swift", "m": "objective-c", "mm": "objective-cpp", "vue": "vue", "svelte": "svelte", "md": "markdown", "mdx": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "sql": "sql", "sh": "shell", "bash": "shell", "zsh": "shell", "css": "css", "scss": "scss", "html": "html", "dart": "dart", "sol": "solidity", "proto": "protobuf", "tf": "terraform", "hcl": "hcl",
 }

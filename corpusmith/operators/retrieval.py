@@ -26,7 +26,7 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
     first = chunks.groupBy("id").agg(F.min(F.struct("path", "start_line", "content", "language", "symbol", "end_line", "hash")).alias("c"))
     own = materialize(first.select("id", *(F.col(f"c.{c}").alias(c) for c in columns)), "chunks")
     cut = own.select("id", tokens(search_text(F.col("path"), F.col("symbol"), F.col("language"), F.col("content"))).alias("t"))
-    named = own.select("id", "path", "start_line", F.explode(F.array_distinct(F.concat(names("content"), F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))))).alias("name"))
+    named = own.select("id", "path", "start_line", F.explode(F.array_distinct(F.concat(names("content", "language"), F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))))).alias("name"))
     cut = materialize(cut, "tokens")
     named = materialize(named.withColumn("name_lower", F.lower("name")), "symbols")
     return {

@@ -39,7 +39,7 @@ def chunk_source(spark, directory):
 @CODE.add()
 def symbol_names(spark, directory):
     """The names that every chunk declares."""
-    rows = table(spark, directory, "chunks").select("id", F.explode(names("content")).alias("name"))
+    rows = table(spark, directory, "chunks").select("id", F.explode(names("content", "language")).alias("name"))
     return rows.distinct().withColumn("name_lower", F.lower("name"))
 
 
@@ -79,7 +79,7 @@ def graph_expansion(spark, directory):
     """Chunks one step from the best text hits."""
     index = _index(spark, directory)
     plans = retrieval.plan_queries(_tasks(spark))
-    seeds = retrieval.text_channel(plans, index, 5).join(index["chunks"], "id").select("query_id", "id", "path", names("content").alias("names"))
+    seeds = retrieval.text_channel(plans, index, 5).join(index["chunks"], "id").select("query_id", "id", "path", names("content", "language").alias("names"))
     symbols = index["symbols"].select("name", "id")
     return graph.expand(seeds, index["chunks"], symbols, graph.imports_of(index["chunks"].select("path", "content")), 20)
 

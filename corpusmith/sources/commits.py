@@ -26,12 +26,15 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 
 def commit_chunks(commits: DataFrame) -> DataFrame:
-    """A chunk for each commit, under a path of its own, with subject, author, date and its first files."""
-    named = F.slice("files", 1, MAX_FILES)
-    more = F.when(F.size("files") > MAX_FILES, F.concat(F.lit("… "), (F.size("files") - MAX_FILES).cast("string"), F.lit(" more")))
-    content = F.concat_ws("\n", F.concat(F.lit("commit "), F.col("hash")), F.concat(F.lit("Author: "), F.col("author")), F.concat(F.lit("Date: "), F.col("date")), F.lit(""), F.col("subject"), F.lit(""), F.array_join(named, "\n"), more)
-    path = F.concat(F.lit(".git/commits/"), F.col("short"))
+    """A chunk for each commit, under a path of its own, with its short hash, date, author, subject and first MAX_FILES files."""
+    none = F.lit(None).cast("string")
+    files = F.array_join(F.transform(F.slice("files", 1, MAX_FILES), lambda f: F.concat(F.lit("- "), f)), "\n")
+    told = lambda label, c: F.concat(F.lit(label), F.coalesce(c, F.lit("")))
+    content = F.concat_ws(
+        "\n", F.concat(F.lit("commit "), F.col("short"), F.lit(" "), F.coalesce("date", F.lit(""))), told("author: ", F.col("author")), told("subject: ", F.col("subject")),
+        F.when(F.size("files") > 0, F.concat(F.lit("files:\n"), files)).otherwise(none),
+    )
     return commits.select(
-        F.substring(F.sha2(F.concat(F.lit("commit\0"), F.col("hash")), 256), 1, 16).alias("id"), path.alias("path"), F.lit("git-commit").alias("language"), F.lit(1).alias("start_line"),
-        F.size(F.split(content, "\n")).alias("end_line"), content.alias("content"), F.substring("subject", 1, MAX_SUBJECT).alias("symbol"), F.sha2(content, 256).alias("hash"),
+        F.substring(F.sha2(F.concat(F.lit("commit\0"), F.col("hash")), 256), 1, 16).alias("id"), F.concat(F.lit(".git/commits/"), F.col("short")).alias("path"), F.lit("git-commit").alias("language"),
+        F.lit(1).alias("start_line"), F.size(F.split(content, "\n")).alias("end_line"), content.alias("content"), F.substring("subject", 1, MAX_SUBJECT).alias("symbol"), F.sha2(content, 256).alias("hash"),
     )

@@ -22,23 +22,47 @@ def test_scan(spark, tmp_path):
 
 
 def test_ignore_rules():
-    assert files.ignored("a/node_modules/b.ts", ["node_modules/"]) and not files.ignored("a/modules.ts", ["node_modules/"])
+    assert files.ignored("a/node_modules/b.ts", ["node_modules/"]) and not files.ignored("a/modules.ts", ["node_modules/"]) and not files.ignored("a/node_modules", ["node_modules/"])
     assert files.ignored("x/y.log", ["*.log"]) and not files.ignored("x/y.log", ["*.log", "!y.log"]) and files.ignored("top/a", ["/top/a"]) and not files.ignored("b/top/a", ["/top/a"])
+    assert files.ignored("a/b/testdata/x", ["**/testdata/"]) and files.ignored("A.PNG", ["*.png"]) and files.ignored("cmake-build-x/a", ["cmake-build-*/"]) and not files.ignored("abc", ["a[x-z]c", "#abc", "", "  "])
+    assert files.ignored("build/keep.ts", ["build/", "!build/keep.ts"])  # the folder is out
+    assert files.nested_rules("a/b", "# no\n*.tmp\n/x\n!/y\n!z\n") == ["a/b/*.tmp", "a/b/x", "!a/b/y", "!a/b/z"] and files.nested_rules("", "*.tmp") == ["*.tmp"]
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    tree = {".gitignore": "*.tmp\nlogs/\n", "a.tmp": "x", "a.ts": "x", "logs/b.ts": "x", "sub/.gitignore": "*.py\n!keep.tmp\n", "sub/c.py": "x", "sub/keep.tmp": "x", "sub/deep/d.py": "x", "sub/e.ts": "x", "image.png": "x", "note.weird": "x", "Makefile": "x", "Dockerfile.dev": "x", "vendor/v.ts": "x", ".env": "A=1", ".env.sample": "A="}
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path: r.language for r in files.scan(spark, {"main": str(tmp_path)}).collect()}
+    # names that begin with their only dot have no extension; the nested rule is anchored in its folder
+    assert got == {"a.ts": "typescript", "sub/deep/d.py": "python", "sub/e.ts": "typescript", "Makefile": "makefile", "Dockerfile.dev": "dockerfile", ".gitignore": "text", "sub/.gitignore": "text"}
+    assert {r.path for r in files.scan(spark, {"main": str(tmp_path)}, all_text=True).collect()} >= {"note.weird", "sub/keep.tmp", ".env.sample"}
+
+
+def test_languages(spark):
+    wanted = {"a.tsx": "tsx", "x.proto": "protobuf", "y.c++": "cpp", "z.mm": "objective-cpp", "GNUmakefile": "makefile", "build.gradle.kts": "gradle", "pom.xml": "xml", "d/Dockerfile.x": "dockerfile", "q.lua": "lua", "Gemfile": "text", ".bashrc": "text", "m.hcl": "hcl", "n.": "text"}
+    got = spark.createDataFrame(list(wanted.items()), "path string, wanted string").select("path", "wanted", files.language_of(F.col("path")).alias("got")).collect()
+    assert all(r.got == r.wanted for r in got), [r for r in got if r.got != r.wanted]
 
 
 def test_web(spark):
-    page = '<html><head><title> A &amp; B </title><script>x()</script></head><body><!-- no --><h1>Head</h1><p>One&nbsp;two<br>three</p><a href="/b/index.html?q=1">b</a><a href=\'c.html#f\'>c</a><a href="mailto:x@y">m</a></body></html>'
-    pages = spark.createDataFrame([("https://Site.test/a/", page), ("https://site.test/b", "<p>no title</p>"), ("https://site.test/x", None)], "url string, html string")
+    page = '<html><head><title> A &amp; <i>B</i> </title><script>x()</script></head><body><!-- no --><h1>Head</h1><p>One&nbsp;two<br>three&#33;</p><a href="/b/index.html?q=1">b</a><a href=\'c.html#f\'>c</a><a href="mailto:x@y">m</a><a href=d>next</a>next</body></html>'
+    pages = spark.createDataFrame([("https://site.test/a/", page), ("https://site.test/b", "<p>no title</p>"), ("https://site.test/a/d", "<a href='/a/'></a>"), ("https://site.test/x", None), ("https://site.test/b%2fc/", "x"), ("https://site.test/a/index", "y")], "url string, html string")
     docs = {r.path: r for r in web.documents(pages).collect()}
-    assert docs["website/a.md"].title == "A & B" and "Head\n\nOne\xa0two\nthree" in docs["website/a.md"].content and "x()" not in docs["website/a.md"].content and docs["website/b.md"].title is None
+    assert docs["website/a/index.md"].content == "# A & B\n\nSource: https://site.test/a/\n\nA & B\n\nHead\n\nOne two\n\nthree!\n\nb c m next next\n" and docs["website/b.md"].content.startswith("# /b\n\n")
+    assert sum(p.startswith("website/a/index--") for p in docs) == 1 and len(docs) == 5
     links = pages.limit(1).select(web.links_of(F.col("html"), F.col("url")).alias("l")).first().l
-    assert links == ["https://Site.test/b/index.html?q=1", "https://Site.test/a/c.html#f"] or links[1].startswith("https://Site.test/a/c.html")
+    assert links == ["https://site.test/a/c.html#f", "https://site.test/a/d", "https://site.test/b/index.html?q=1"]
     rules = web.robots_rules("User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: bad\nDisallow: /", "mybot")
     paths = spark.createDataFrame([("/private/x",), ("/private/open/y",), ("/else",)], "p string")
     assert [r[0] for r in paths.select(web.robots_allowed(F.col("p"), rules)).collect()] == [False, True, True]
-    found = web.crawl(pages, "https://site.test/a", 2).collect()
-    assert [(r.url, r.depth) for r in found] == [("https://site.test/a", 0), ("https://site.test/a/c.html", 1)]
-    assert web.crawl(pages, "https://site.test", 2).count() == 1
+    found = web.crawl(pages, "https://site.test/a/", 2).collect()
+    assert [(r.url, r.depth) for r in found] == [("https://site.test/a/", 0), ("https://site.test/a/d", 1)]
+    assert web.crawl(pages, "https://site.test/a/", 2, most_bytes=len(page)).count() == 1
+    odd = [("HTTPS://Site.Test", "https://site.test/"), ("https://u@site.test/a", None), ("https://site.test/a.pdf", None), ("https://site.test/a%zz", None), ("ftp://site.test/", None), ("https://site.test/a#b", None), (None, None)]
+    assert [r.c for r in spark.createDataFrame(odd, "u string, w string").select(web.canonical(F.col("u")).alias("c")).collect()] == [w for _, w in odd]
+    assert web.absolute_link("../../x/./y?a=1&amp;b", "https://s.test/p/q") == "https://s.test/x/y?a=1&b" and web.absolute_link("", "https://s.test/") is None
 
 
 def test_commits(spark):
@@ -48,7 +72,7 @@ def test_commits(spark):
     got = {r.short: r for r in commits.parse_log(lines).collect()}
     assert got["ab"].files == ["src/a.ts", "src/b.ts"] and got["de"].files == [] and got["ab"].subject == "First: x"
     chunk = {r.path: r for r in commits.commit_chunks(commits.parse_log(lines)).collect()}
-    assert chunk[".git/commits/ab"].language == "git-commit" and "src/b.ts" in chunk[".git/commits/ab"].content
+    assert chunk[".git/commits/ab"].language == "git-commit" and chunk[".git/commits/ab"].content == "commit ab 2025-01-01\nauthor: Ann\nsubject: First: x\nfiles:\n- src/a.ts\n- src/b.ts" and chunk[".git/commits/de"].end_line == 3
 
 
 def test_snapshots(spark, tmp_path):
