@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmith.functions import rules
+from corpusmith.operators.ordered import ranked
 
 
 def reciprocal_ranks(lists: DataFrame, key: str, k: int = rules.RRF_K) -> DataFrame:
@@ -52,16 +53,25 @@ def hint_bonus(scores: DataFrame, by: list[str], score: str = "score", share: fl
     return scores.groupBy(*by).agg((F.max(score) + F.least(F.lit(most), share * rest)).alias(score))
 
 
+def normalized(rows: DataFrame, value: str, by: str = "query_id") -> DataFrame:
+    """Adds share and place of a value as :func:`max_normalized` and :func:`min_max_normalized` give them, for groups of any size."""
+    ends = rows.groupBy(F.col(by).alias("_by")).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    both = rows.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    share = F.when(F.col("_most") > 0, F.col(value) / F.col("_most")).otherwise(0.0)
+    place = F.when(F.col("_most") > F.col("_least"), (F.col(value) - F.col("_least")) / (F.col("_most") - F.col("_least")))
+    return both.withColumn("share", share).withColumn("place", place).drop("_by", "_least", "_most")
+
+
 def rounds(rows: DataFrame, group: str, score: str, key: str, by: str = "query_id") -> DataFrame:
     """Rows with round and place: first the best of every group, then the second best, and so on.
 
-    Groups come in the order of their best score; equal scores go to the smaller key.
+    Groups come in the order of their best score; equal scores go to the smaller key. Both places
+    are counted along ranges of the order, whatever the size of a group or query.
     """
-    within = Window.partitionBy(by, group).orderBy(F.desc(score), key)
-    best = F.max(score).over(Window.partitionBy(by, group))
-    order = Window.partitionBy(by).orderBy("round", F.desc("_best"), F.desc(score), key)
-    placed = rows.withColumn("round", F.row_number().over(within).cast("long")).withColumn("_best", best)
-    return placed.withColumn("place", F.row_number().over(order).cast("long")).drop("_best")
+    best = rows.groupBy(F.col(by).alias("_by"), F.col(group).alias("_group")).agg(F.max(score).alias("_best"))
+    within = ranked(rows, [by, group], [F.desc(score), F.col(key)], "round")
+    placed = within.join(best, F.col(by).eqNullSafe(F.col("_by")) & F.col(group).eqNullSafe(F.col("_group"))).drop("_by", "_group")
+    return ranked(placed, [by], [F.col("round"), F.desc("_best"), F.desc(score), F.col(key)], "place").drop("_best")
 
 
 def append_discoveries(primary: DataFrame, others: DataFrame, key: str, limit: int) -> DataFrame:

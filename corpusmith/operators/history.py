@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusmith.operators.ordered import nearest_rank
+
 
 def p95(value: str, share: float = 0.95) -> Column:
     """The nearest-rank percentile: the value at place ceil(n * share) of the ordered ones; nulls don't count."""
@@ -11,26 +15,56 @@ def p95(value: str, share: float = 0.95) -> Column:
 
 
 def route_rollup(requests: DataFrame, route: str, status: str, duration: str) -> DataFrame:
-    """Per route: requests, errors (status from 400), avg_ms and p95_ms to a tenth."""
-    return requests.groupBy(route).agg(
-        F.count("*").alias("requests"), F.count_if(F.col(status) >= 400).alias("errors"), F.round(F.avg(duration), 1).alias("avg_ms"), F.round(p95(duration), 1).alias("p95_ms")
-    )
+    """Per route: requests, errors (status from 400), avg_ms and p95_ms to a tenth; routes without durations have null for both.
+
+    The percentile is the nearest rank over counted values, so a busy route is no single task.
+    """
+    counts = requests.groupBy(route).agg(F.count("*").alias("requests"), F.count_if(F.col(status) >= 400).alias("errors"), F.round(F.avg(duration), 1).alias("avg_ms"))
+    high = nearest_rank(requests, [route], duration, 0.95, "_p95").select(F.col(route).alias("_route"), F.round("_p95", 1).alias("p95_ms"))
+    return counts.join(high, F.col(route).eqNullSafe(F.col("_route")), "left").drop("_route")
+
+
+# Methods that are told apart.
+METHODS = "GET HEAD POST PUT PATCH DELETE OPTIONS".split()
 
 
-def normal_route(url: Column, templates: list[tuple[str, str]]) -> Column:
-    """The template of the first pattern that a path matches, without its query; else ``other``."""
+def normal_method(method: Column) -> Column:
+    """The method in capitals if it is one that is told apart, else ``OTHER``."""
+    return F.when(F.upper(method).isin(*METHODS), F.upper(method)).otherwise("OTHER")
+
+
+def normal_route(url: Column, templates: list[tuple[str, str]], other: str = "other") -> Column:
+    """The template of the first pattern that a path matches whole, without its query and fragment; else ``other``."""
     path = F.regexp_replace(url, r"[?#].*$", "")
     chosen = None
     for pattern, template in templates:
-        chosen = F.when(path.rlike(pattern), template) if chosen is None else chosen.when(path.rlike(pattern), template)
-    return F.lit("other") if chosen is None else chosen.otherwise("other")
+        met = path.rlike(f"^(?:{pattern})$")
+        chosen = F.when(met, template) if chosen is None else chosen.when(met, template)
+    return F.lit(other) if chosen is None else chosen.otherwise(other)
+
+
+def route_template(template: str) -> tuple[str, str]:
+    """The pattern of a template whose parts in braces stand for one segment each: ``/a/{id}`` for ``/a/5``."""
+    return "/".join("[^/]+" if part.startswith("{") and part.endswith("}") else re.escape(part) for part in template.split("/")), template
 
 
-def sessions(events: DataFrame, user: str, at: str, idle: str = "30 minutes") -> DataFrame:
-    """Sessions by idle gaps: user, session (from 1), started, ended and events of each."""
-    order = Window.partitionBy(user).orderBy(at)
-    first = F.lag(at).over(order).isNull() | (F.col(at) > F.lag(at).over(order) + F.expr(f"interval {idle}"))
-    numbered = events.withColumn("session", F.sum(first.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def sessions(events: DataFrame, user: str, at: str, idle: str = "30 minutes", block: str = "1 day") -> DataFrame:
+    """Sessions by idle gaps: user, session (from 1), started, ended and events of each. Events without time don't count.
+
+    A user's events are cut into blocks of time; each block's first gap is measured from the last
+    event of the blocks before, and its sessions are numbered on from theirs.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + interval {block})")
+    gap = F.expr(f"unix_micros(timestamp_seconds(0) + interval {idle})")
+    placed = events.where(F.col(at).isNotNull()).select(user, at, micros.alias("_us")).withColumn("_b", F.floor(F.col("_us") / width))
+    blocks, inside = Window.partitionBy(user).orderBy("_b"), Window.partitionBy(user, "_b").orderBy("_us")
+    last = placed.groupBy(user, "_b").agg(F.max("_us").alias("_max")).withColumn("_before", F.lag("_max").over(blocks)).drop("_max")
+    on = lambda a, b: a.join(b.withColumnRenamed(user, "_u").withColumnRenamed("_b", "_c"), F.col(user).eqNullSafe(F.col("_u")) & (F.col("_b") == F.col("_c")), "left").drop("_u", "_c")
+    before = F.coalesce(F.lag("_us").over(inside), F.col("_before"))
+    begun = on(placed, last).withColumn("_new", (before.isNull() | (F.col("_us") > before + gap)).cast("long"))
+    starts = begun.groupBy(user, "_b").agg(F.sum("_new").alias("_n")).select(user, "_b", F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sum"))
+    numbered = on(begun.withColumn("session", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))), starts).withColumn("session", F.col("session") + F.col("_sum"))
     return numbered.groupBy(user, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("events"))
 
 
@@ -38,12 +72,17 @@ def rate_limited(events: DataFrame, key: str, at: str, most: int = 60, seconds:
     """Events with ``recent``, the events of their key in the trailing time, and ``rejected`` where these reach ``most``.
 
     The window's beginning is excluded and the event itself isn't counted; events at the same
-    moment count among one another.
+    moment count among one another. A key's events are cut into blocks of the trailing time; each
+    event is also counted with the next block, which is as far as a window reaches back.
     """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    order = Window.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    counted = events.withColumn("_us", micros).withColumn("recent", F.count("*").over(order) - 1)
-    return counted.drop("_us").withColumn("rejected", F.col("recent") >= most)
+    order = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(span - 1), 0)
+    block = F.floor(F.col("_us") / span)
+    own = events.withColumn("_us", micros).withColumn("_b", block).withColumn("_own", F.lit(True))
+    copies = own.select(*(F.col(c) if c in (key, "_us") else F.lit(None).cast(t).alias(c) for c, t in own.dtypes)).withColumn("_b", block + 1).withColumn("_own", F.lit(False))
+    counted = own.unionByName(copies).withColumn("recent", F.count("*").over(order) - 1).where("_own")
+    return counted.drop("_us", "_b", "_own").withColumn("rejected", F.col("recent") >= most)
 
 
 def inbox(deliveries: DataFrame, keys: list[str], body: str, received: str) -> tuple[DataFrame, DataFrame]:

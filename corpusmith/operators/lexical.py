@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusmith.functions import rules
 from corpusmith.functions.query import analyze, fts_groups, priority_terms
+from corpusmith.session import materialize
 
 
 def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -24,6 +25,16 @@ def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     return placed.groupBy("term", key, "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("_p")).alias("positions"))
 
 
+def asked_postings(texts: DataFrame, key: str, tokens: Column, terms: DataFrame) -> DataFrame:
+    """term, ``key``, tf and dl of the given terms (term) only, written once.
+
+    Terms are met before anything is counted or shuffled; positions aren't kept.
+    """
+    placed = texts.select(key, tokens.alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
+    met = placed.join(terms.select("term").distinct(), "term", "left_semi")
+    return materialize(met.groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "asked")
+
+
 def term_statistics(index: DataFrame, key: str) -> DataFrame:
     """df, the number of texts of each term."""
     return index.groupBy("term").agg(F.count_distinct(key).alias("df"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmith.functions.tokens import plain_tokens, tokens
 from corpusmith.operators import fusion, lexical, similarity
 from corpusmith.plans.registry import Registry
+from corpusmith.session import materialize
 from corpusmith.sources.tables import table
 
 SEARCH = Registry()
@@ -60,7 +61,8 @@ def _bm25(spark, directory):
     docs = _documents(spark, directory)
     cut = plain_tokens(F.col("text"))
     queries = _asked(spark).select("query_id", plain_tokens(F.col("raw")).alias("terms"))
-    return lexical.bm25(lexical.postings(docs, "doc_id", cut), lexical.corpus_statistics(docs, cut), queries, "doc_id")
+    index = lexical.asked_postings(docs, "doc_id", cut, queries.select(F.explode("terms").alias("term")))
+    return lexical.bm25(index, lexical.corpus_statistics(docs, cut), queries, "doc_id")
 
 
 @SEARCH.add(_BM25 + "select query_id, doc_id, rank, round(score, 6) score from bm where rank <= 10")
@@ -73,17 +75,18 @@ def bm25_topk(spark, directory):
 def bm25_exact_tokens(spark, directory):
     """BM25 over the exact tokens."""
     docs = _documents(spark, directory)
-    cut = docs.select("doc_id", tokens("text").alias("t"))
+    cut = materialize(docs.select("doc_id", tokens("text").alias("t")), "tokens")
     queries = _asked(spark).select("query_id", tokens("raw").alias("terms"))
-    scores = lexical.bm25(lexical.postings(cut, "doc_id", F.col("t")), lexical.corpus_statistics(cut, F.col("t")), queries, "doc_id")
+    scores = lexical.bm25(lexical.asked_postings(cut, "doc_id", F.col("t"), queries.select(F.explode("terms").alias("term"))), lexical.corpus_statistics(cut, F.col("t")), queries, "doc_id")
     return lexical.top_k(scores, 10, "doc_id").withColumn("score", F.round("score", 6))
 
 
 @SEARCH.add(f"select 1::bigint query_id, doc_id from (select doc_id, {_DOC_TOK} t from documents) where list_has_any(t, ['lease', 'worker']) and list_has_any(t, ['expires', 'frame', 'window'])")
 def fts_anchor_support(spark, directory):
     """Documents that hold an anchor term and a support term."""
-    index = lexical.postings(_documents(spark, directory), "doc_id", plain_tokens(F.col("text")))
     groups = spark.createDataFrame([(1, [["lease", "worker"], ["expires", "frame", "window"]])], "query_id long, groups array<array<string>>")
+    terms = groups.select(F.explode(F.flatten("groups")).alias("term"))
+    index = lexical.asked_postings(_documents(spark, directory), "doc_id", plain_tokens(F.col("text")), terms)
     return lexical.boolean_matches(index, groups, "doc_id")
 
 
@@ -111,7 +114,8 @@ def rrf_two_channels(spark, directory):
 @SEARCH.add(_BM25 + "select query_id, doc_id, round(score / max(score) over (partition by query_id), 6) share, round((score - min(score) over (partition by query_id)) / nullif(max(score) over (partition by query_id) - min(score) over (partition by query_id), 0), 6) place from bm where score > 0")
 def score_normalization(spark, directory):
     """scores as shares of the greatest, and between the least and the greatest."""
-    return _bm25(spark, directory).select("query_id", "doc_id", F.round(fusion.max_normalized("score"), 6).alias("share"), F.round(fusion.min_max_normalized("score"), 6).alias("place"))
+    scores = fusion.normalized(_bm25(spark, directory), "score")
+    return scores.select("query_id", "doc_id", F.round("share", 6).alias("share"), F.round("place", 6).alias("place"))
 
 
 _COS = "list_cosine_similarity(q.embedding::double[], e.embedding::double[])"

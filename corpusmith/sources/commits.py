@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from corpusmith.operators.ordered import carried
 
 #: The format the log is written in: ``git log --name-only --pretty=format:'commit%x1f%H%x1f%h%x1f%an%x1f%aI%x1f%s'``.
 MARK, SEPARATOR = "commit", "\x1f"
 MAX_FILES, MAX_SUBJECT = 40, 120
+#: Line numbers of a log that are read together.
+BLOCK = 4096
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -15,9 +19,10 @@ def parse_log(lines: DataFrame) -> DataFrame:
     ``log`` tells logs apart and ``n`` orders their lines. Lines before the first commit are left
     out; a commit without files has an empty array.
     """
-    order = Window.partitionBy("log").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("value").startswith(MARK + SEPARATOR)
-    numbered = lines.withColumn("_head", head).withColumn("_c", F.sum(F.col("_head").cast("int")).over(order)).where("_c > 0")
+    begun = lines.where("value is not null").withColumn("_head", head).withColumn("_at", F.when(F.col("_head"), F.col("n")))
+    # a line belongs to the last head before it; long logs are read in blocks of lines
+    numbered = carried(begun, ["log"], "n", F.floor(F.col("n") / BLOCK), "_at", "_c").where("_c is not null")
     heads = numbered.where("_head").select("log", "_c", F.split("value", SEPARATOR, 6).alias("p"))
     files = numbered.where("not _head and trim(value) != ''").groupBy("log", "_c").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("f"))
     both = heads.join(files, ["log", "_c"], "left")
