@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmith.functions.ranking import packed_tokens
 
@@ -52,6 +52,12 @@ def salient(text: str, terms: list[str]) -> str | None:
     return "\n".join(out + ["…"] * (before < len(lines) - 1))
 
 
+@F.pandas_udf(T.StringType())
+def salient_part(content: pd.Series, terms: pd.Series) -> pd.Series:
+    """:func:`salient` of two columns; null texts give null."""
+    return pd.Series([None if c is None else salient(c, list(t) if t is not None else []) for c, t in zip(content, terms, strict=True)], dtype=object)
+
+
 def repeats(a: dict, b: dict) -> bool:
     """Whether two passages of a file say the same: by id or hash, span, four fifths of the lines, or containment."""
     if a["id"] == b["id"] or a["hash"] and a["hash"] == b["hash"]:

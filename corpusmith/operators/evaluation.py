@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def ranking_metrics(results: DataFrame, gold: DataFrame, strict: bool = False) -> DataFrame:
@@ -34,6 +34,55 @@ def ranking_metrics(results: DataFrame, gold: DataFrame, strict: bool = False) -
     )
 
 
+def hard_negatives(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per case: whether the first path, and whether any of the first top_k different paths, is one of its negatives.
+
+    ``results`` has case_id, rank and path; ``gold`` case_id, negatives (array) and top_k. Cases
+    without results or negatives have neither.
+    """
+    once = results.groupBy("case_id", "path").agg(F.min("rank").alias("rank"))
+    placed = once.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("rank", "path")))
+    met = placed.join(gold.select("case_id", "negatives", "top_k"), "case_id").where((F.col("rank") <= F.col("top_k")) & F.array_contains("negatives", F.col("path")))
+    first = met.groupBy("case_id").agg(F.min("rank").alias("_first"))
+    return gold.select("case_id").distinct().join(first, "case_id", "left").select("case_id", F.coalesce(F.col("_first") == 1, F.lit(False)).alias("negative_top1"), F.col("_first").isNotNull().alias("negative_at_k"))
+
+
+def variant_means(runs: DataFrame, values: list[str]) -> DataFrame:
+    """Per variant: runs, how many passed, failed, timed out or had errors, the share that passed, and means that leave nulls out."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return runs.groupBy("variant").agg(
+        F.count("*").alias("runs"), F.count_distinct("repetition").alias("repetitions"), of("passed").alias("passed"), of("failed").alias("failed"), of("timeout").alias("timeouts"), of("error").alias("errors"),
+        F.round(of("passed") / F.count("*"), 6).alias("pass_rate"), *(F.round(F.avg(v), 6).alias(f"mean_{v}") for v in values),
+    )
+
+
+def delta_gate(deltas: dict[str, Column], worst: float = -0.01, gain: float = 0.005, ungained: tuple[str, ...] = ("top5",)) -> Column:
+    """``candidate-for-default`` if no measure falls by more than allowed and one of those that count rises enough, else ``keep-opt-in``."""
+    steady, better = F.lit(True), F.lit(False)
+    for name, delta in deltas.items():
+        steady = steady & (delta >= worst)
+        better = better | (delta > gain) if name not in ungained else better
+    return F.when(steady & better, "candidate-for-default").otherwise("keep-opt-in")
+
+
+_CASE = "array<struct<id:string,query:string,expectPaths:array<string>,expectSymbols:array<string>,topK:int>>"
+
+
+def cases_of(documents: DataFrame, column: str = "value", top_k: int = 8) -> DataFrame:
+    """case_id, query, expected, symbols and top_k of case files, each a JSON array in one row of a column.
+
+    Cases without id or query are left out; missing lists are empty and a missing top_k is the default.
+    """
+    none = F.array().cast("array<string>")
+    rows = documents.select(F.explode(F.from_json(column, _CASE)).alias("c")).where("c.id is not null and c.query is not null")
+    return rows.select(F.col("c.id").alias("case_id"), F.col("c.query").alias("query"), F.coalesce("c.expectPaths", none).alias("expected"), F.coalesce("c.expectSymbols", none).alias("symbols"), F.coalesce("c.topK", F.lit(top_k)).alias("top_k"))
+
+
+def read_cases(spark: SparkSession, location: str, top_k: int = 8) -> DataFrame:
+    """The cases of JSON files below a location."""
+    return cases_of(spark.read.option("wholetext", True).text(location), "value", top_k)
+
+
 def macro_average(metrics: DataFrame, by: str, values: list[str]) -> DataFrame:
     """The mean over groups of each group's mean, as one row."""
     return metrics.groupBy(by).agg(*(F.avg(v).alias(v) for v in values)).agg(*(F.round(F.avg(v), 6).alias(v) for v in values))

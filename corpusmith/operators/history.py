@@ -158,20 +158,65 @@ def retry_delay_ms(attempts: Column, base: int = 1000, most: int | None = None,
     return (F.least(delay, F.lit(float(most))) if most else delay).cast("long")
 
 
-def store_error(code: Column, name: Column, status: Column) -> Column:
-    """The kind of a store's error: permission, capacity, throttled, missing, conflict, unavailable or unknown."""
-    text = F.lower(F.concat_ws(" ", code, name))
-    return (
-        F.when(text.rlike("accessdenied|eacces|eperm|forbidden|unauthorized|invalidaccesskey|signaturedoesnotmatch") | status.isin(401, 403), "permission")
-        .when(text.rlike("enospc|edquot|quota|insufficientstorage|entitytoolarge") | status.isin(413, 507), "capacity")
-        .when(text.rlike("slowdown|throttl|toomanyrequests|requestlimit") | (status == 429), "throttled")
-        .when(text.rlike("nosuchkey|notfound|enoent") | (status == 404), "missing")
-        .when(text.rlike("preconditionfailed|conflict") | status.isin(409, 412), "conflict")
-        .when(text.rlike("timeout|etimedout|econnreset|econnrefused|epipe|enotfound|network") | (status >= 500), "unavailable")
-        .otherwise("unknown")
-    )
+def expired(expires: Column, now: Column) -> Column:
+    """Whether a lease is over: its end is reached; without end it never is."""
+    return F.coalesce(expires <= now, F.lit(False))
+
+
+def due_within(at: Column, now: Column, milliseconds: int) -> Column:
+    """Whether a time is still to come and no further away than so many milliseconds."""
+    return F.coalesce((at > now) & (F.unix_micros(at) - F.unix_micros(now) <= milliseconds * 1000), F.lit(False))
+
+
+def claimable(status: Column, next_attempt: Column, locked: Column, now: Column, lease_ms: int) -> Column:
+    """Whether a queued row may be claimed: pending and due, or processing under a lease that is over."""
+    late = F.unix_micros(locked) + lease_ms * 1000 <= F.unix_micros(now)
+    return F.coalesce((status == "pending") & (next_attempt <= now) | (status == "processing") & late, F.lit(False))
+
+
+def claim(queue: DataFrame, now: Column, lease_ms: int, most: int, order: list[str]) -> DataFrame:
+    """The next ``most`` claimable rows (status, next_attempt_at, locked_at, attempts) by next attempt and ``order``, as they are once claimed.
+
+    Giving a row to one worker only is up to the store that the claim is written to.
+    """
+    ready = queue.where(claimable(F.col("status"), F.col("next_attempt_at"), F.col("locked_at"), now, lease_ms))
+    first = ready.orderBy("next_attempt_at", *order).limit(most)
+    return first.withColumn("status", F.lit("processing")).withColumn("attempts", F.col("attempts") + 1).withColumn("locked_at", now)
+
+
+def session_states(sessions: DataFrame, status: str, seen: str, now: Column, ttl_ms: int) -> DataFrame:
+    """One row: active sessions that were seen within their time to live, expired and closed ones."""
+    live = F.unix_micros(seen) + ttl_ms * 1000 > F.unix_micros(now)
+    active = F.col(status) == "active"
+    return sessions.agg(F.count_if(active & live).alias("active"), F.count_if(active & ~live).alias("expired"), F.count_if(~active).alias("closed"))
+
+
+# What stores report, by kind, in the order in which kinds are tried.
+ERROR_KINDS = {
+    "permission": (["EACCES", "EPERM", "EROFS"], ["AccessDenied", "AccessDeniedException", "AllAccessDisabled", "InvalidAccessKeyId", "SignatureDoesNotMatch"], [401, 403]),
+    "capacity": (["ENOSPC", "EDQUOT"], ["QuotaExceeded", "ServiceQuotaExceededException"], [507]),
+    "timeout": (["ETIMEDOUT", "ESOCKETTIMEDOUT", "ERR_SOCKET_CONNECTION_TIMEOUT"], ["TimeoutError", "RequestTimeout", "RequestTimeoutException", "SnapshotStoreTimeoutError"], [408]),
+    "aborted": (["ABORT_ERR"], ["AbortError"], []),
+    "not_found": (["ENOENT"], ["NoSuchKey", "NotFound", "NoSuchBucket"], [404]),
+}
+#: Names of errors that go away once credentials are renewed, whatever their status.
+RENEWED = ["ExpiredToken", "ExpiredTokenException", "TokenRefreshRequired", "CredentialsProviderError"]
+CAUSES = 4
+
+
+def error_kind(causes: Column) -> Column:
+    """The kind of a store's error from its chain of causes (array of code, name and status; the first CAUSES count): that of the first that has one, else ``transient``."""
+
+    def one(c: Column) -> Column:
+        kind = F.when(c["name"].isin(*RENEWED), "transient")
+        for name, (codes, names, states) in ERROR_KINDS.items():
+            kind = kind.when(F.coalesce(c["code"].isin(*codes), F.lit(False)) | F.coalesce(c["name"].isin(*names), F.lit(False)) | (F.coalesce(c["status"].isin(*states), F.lit(False)) if states else F.lit(False)), name)
+        return kind
+
+    kinds = F.filter(F.transform(F.slice(causes, 1, CAUSES), one), lambda k: k.isNotNull())
+    return F.coalesce(F.get(kinds, F.lit(0)), F.lit("transient"))
 
 
 def retryable(kind: Column) -> Column:
-    """Whether an error of this kind may go away: all but permission, capacity, missing and conflict."""
-    return ~kind.isin("permission", "capacity", "missing", "conflict")
+    """Whether an error of this kind may go away by itself: all but permission and capacity."""
+    return ~kind.isin("permission", "capacity")

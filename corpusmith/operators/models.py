@@ -14,16 +14,21 @@ Embed = Callable[[list[str]], list[list[float]]]
 
 #: Characters of a text that a reranker is given, and texts of a batch.
 RERANK_CHARS, BATCH = 2000, 32
+#: Characters of a chunk's content that are embedded.
+EMBED_CHARS = 6000
 
 
 def embedding_text(path: Column, symbol: Column, content: Column) -> Column:
-    """What is embedded of a chunk: its path, its symbol if it has one, and its content."""
-    return F.concat_ws("\n", path, symbol, content)
+    """What is embedded of a chunk: its path, its symbol, and the first EMBED_CHARS characters that a model takes of its content."""
+    return F.concat(F.lit("File: "), path, F.lit("\nSymbol: "), F.coalesce(symbol, F.lit("")), F.lit("\n\n"), F.substring(F.coalesce(content, F.lit("")), 1, EMBED_CHARS))
 
 
-def rerank_text(path: Column, symbol: Column, content: Column, most: int = RERANK_CHARS) -> Column:
-    """What a reranker reads of a chunk, at most ``most`` characters."""
-    return F.substring(F.concat_ws("\n", F.concat(F.lit("File: "), path), F.concat(F.lit("Symbol: "), symbol), content), 1, most)
+def rerank_text(path: Column, symbol: Column, language: Column, content: Column, most: int = RERANK_CHARS) -> Column:
+    """What a reranker reads of a chunk: path, symbol and language, then the content on one line; at most ``most`` characters, the last an ellipsis."""
+    told = lambda label, c: F.concat(F.lit(label), F.nullif(c, F.lit("")))
+    body = F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", " "))
+    text = F.concat_ws("\n", F.concat(F.lit("path: "), path), told("symbol: ", symbol), told("language: ", language), body)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
 def instructed(query: Column, task: str = "Given a question, find the code that answers it") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmith.operators.ordered import nearest_rank
 
@@ -42,3 +42,8 @@ def overview(jobs: DataFrame, requests: DataFrame) -> DataFrame:
 def needs_rebuild(indexed: int | None, revision: int) -> bool:
     """Whether an index can't be brought to a revision by its changes alone: it isn't the one before."""
     return indexed is None or indexed != revision - 1
+
+
+def rebuild_needed(indexed: Column, revision: Column) -> Column:
+    """:func:`needs_rebuild` of columns."""
+    return indexed.isNull() | (indexed != revision - 1)

@@ -5,38 +5,80 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpusmith.functions import ranking
 from corpusmith.functions.code import names
-from corpusmith.functions.query import Query, analyze, fts_groups, path_hints, priority_terms, score_path_hint, subqueries, symbol_hints
-from corpusmith.functions.tokens import search_text, tokens
-from corpusmith.operators import fusion, lexical
+from corpusmith.functions.query import Query, analyze, fts_groups, path_hints, priority_terms, strong_identifier, subqueries, symbol_hints
+from corpusmith.functions.tokens import plain_tokens, search_text, tokens
+from corpusmith.operators import fusion, graph, lexical
 from corpusmith.session import materialize
 
 CHANNEL_ROWS = 200
 
 
-def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The tables that search reads: chunks (each id once), postings, symbols, heads of files and corpus statistics.
+#: Tables of an index.
+TABLES = ("chunks", "postings", "statistics", "symbols", "heads", "imports")
 
-    They are written to the shared folder, as every channel of every search reads them.
+
+class Index(dict):
+    """The tables that search reads, by name, each made and written to the shared folder when it is first read."""
+
+    def __init__(self, chunks: DataFrame) -> None:
+        super().__init__()
+        self._source = chunks
+
+    def __missing__(self, name: str) -> DataFrame:
+        made = self[name] = materialize(getattr(self, f"_{name}")(), name)
+        return made
+
+    def _chunks(self) -> DataFrame:
+        columns = ("path", "language", "symbol", "start_line", "end_line", "content", "hash")
+        first = self._source.groupBy("id").agg(F.min(F.struct("path", "start_line", "content", "language", "symbol", "end_line", "hash")).alias("c"))
+        return first.select("id", *(F.col(f"c.{c}").alias(c) for c in columns))
+
+    def _cut(self) -> DataFrame:
+        return self["chunks"].select("id", tokens(search_text(F.col("path"), F.col("symbol"), F.col("language"), F.col("content"))).alias("t"))
+
+    def _postings(self) -> DataFrame:
+        return lexical.postings(self["cut"], "id", F.col("t"))
+
+    def _statistics(self) -> DataFrame:
+        return lexical.corpus_statistics(self["cut"], F.col("t"))
+
+    def _symbols(self) -> DataFrame:
+        own = F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))
+        named = self["chunks"].select("id", "path", "start_line", F.explode(F.array_distinct(F.concat(names("content", "language"), own))).alias("name"))
+        return named.withColumn("name_lower", F.lower("name"))
+
+    def _heads(self) -> DataFrame:
+        return self._source.where("id is not null").groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
+
+    def _imports(self) -> DataFrame:
+        return graph.imports_of(self["chunks"].select("path", "content"))
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """The tables that search reads: chunks (each id once), postings, symbols, heads of files, imports and corpus statistics.
+
+    Each is written to the shared folder when a search first needs it, and read by all later ones.
     """
-    columns = ("path", "language", "symbol", "start_line", "end_line", "content", "hash")
-    first = chunks.groupBy("id").agg(F.min(F.struct("path", "start_line", "content", "language", "symbol", "end_line", "hash")).alias("c"))
-    own = materialize(first.select("id", *(F.col(f"c.{c}").alias(c) for c in columns)), "chunks")
-    cut = own.select("id", tokens(search_text(F.col("path"), F.col("symbol"), F.col("language"), F.col("content"))).alias("t"))
-    named = own.select("id", "path", "start_line", F.explode(F.array_distinct(F.concat(names("content", "language"), F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))))).alias("name"))
-    cut = materialize(cut, "tokens")
-    named = materialize(named.withColumn("name_lower", F.lower("name")), "symbols")
-    return {
-        "chunks": own, "postings": materialize(lexical.postings(cut, "id", F.col("t")), "postings"), "statistics": lexical.corpus_statistics(cut, F.col("t")),
-        "symbols": named, "heads": own.groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("id")),
-    }
+    return Index(chunks)
+
+
+def save_index(index: Index, folder: str) -> None:
+    """Writes the tables of an index, so that later sessions can read them."""
+    for name in TABLES:
+        index[name].write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that :func:`save_index` wrote."""
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in TABLES}
 
 
 def plan_queries(queries: DataFrame) -> DataFrame:
-    """query_id with the analyzed query and the vocabularies of its channels: terms, groups, symbols, hints, strong."""
+    """query_id with the analyzed query, the vocabularies of its channels, and whether it names a strong identifier."""
 
     def plan(batches):
         for batch in batches:
@@ -44,11 +86,11 @@ def plan_queries(queries: DataFrame) -> DataFrame:
             for key, raw in zip(batch["query_id"], batch["raw"], strict=True):
                 q = analyze(raw)
                 groups = [] if q.paths else fts_groups(q.raw, priority_terms(q))
-                out.append((key, q.raw, q.intent, groups, [s.lower() for s in symbol_hints(q)], bool(q.identifiers), path_hints(q)))
-            yield pd.DataFrame(out, columns=["query_id", "raw", "intent", "groups", "symbols", "exact", "hints"])
+                out.append((key, q.raw, q.intent, groups, [s.lower() for s in symbol_hints(q)], bool(q.identifiers), path_hints(q), any(map(strong_identifier, q.identifiers))))
+            yield pd.DataFrame(out, columns=["query_id", "raw", "intent", "groups", "symbols", "exact", "hints", "strong"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "raw").mapInPandas(plan, f"query_id {kind}, raw string, intent string, groups array<array<string>>, symbols array<string>, exact boolean, hints array<string>")
+    return queries.select("query_id", "raw").mapInPandas(plan, f"query_id {kind}, raw string, intent string, groups array<array<string>>, symbols array<string>, exact boolean, hints array<string>, strong boolean")
 
 
 def _ranked(scores: DataFrame, channel: str, k: int) -> DataFrame:
@@ -85,8 +127,29 @@ def symbol_channel(plans: DataFrame, index: dict[str, DataFrame], k: int = CHANN
     return _ranked(total, "symbol", k)
 
 
-def _hint_score(path: pd.Series, hint: pd.Series) -> pd.Series:
-    return pd.Series([score_path_hint(p, h) for p, h in zip(path, hint, strict=True)])
+def exact_symbols(hints: DataFrame, symbols: DataFrame, each: int) -> DataFrame:
+    """hint, id, score 3 and rank of the first ``each`` chunks (name, id, start_line) that declare each hint, by line and id; case doesn't count."""
+    met = symbols.select(F.lower("name").alias("hint"), "id", "start_line").join(hints.select(F.lower("hint").alias("hint")).distinct(), "hint")
+    once = met.groupBy("hint", "id").agg(F.min("start_line").alias("start_line"))
+    order = Window.partitionBy("hint").orderBy("start_line", "id")
+    return once.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= each).select("hint", "id", F.lit(3.0).alias("score"), "rank")
+
+
+def hint_score(path: Column, hint: Column) -> Column:
+    """How closely a path's file name answers a hint in lower case: from 4 for a fragment of several segments to 2 for any substring."""
+    base = F.regexp_extract(path, "[^/]*$", 0)
+    raw = F.regexp_replace(base, r"\.[^.]+$", "")
+    stem = F.lower(raw)
+    whole = F.concat(F.lit("/"), F.regexp_replace(F.lower(F.translate(path, "\\", "/")), r"\.[^./]+$", ""), F.lit("/"))
+    return (
+        F.when(F.contains(hint, F.lit("/")) & F.contains(whole, F.concat(F.lit("/"), hint, F.lit("/"))), 4.0)
+        .when(stem == hint, 3.2)
+        .when((stem == F.concat(hint, F.lit("s"))) | (stem == F.concat(hint, F.lit("es"))), 3.1)
+        .when(F.lower(base).startswith(F.concat(hint, F.lit("."))), 3.0)
+        .when(F.array_contains(plain_tokens(raw), hint), 2.9)
+        .when((F.length(hint) >= 4) & stem.startswith(hint), 2.7)
+        .otherwise(2.0)
+    )
 
 
 def path_channel(plans: DataFrame, index: dict[str, DataFrame], k: int = CHANNEL_ROWS, each: int = 100) -> DataFrame:
@@ -95,7 +158,6 @@ def path_channel(plans: DataFrame, index: dict[str, DataFrame], k: int = CHANNEL
     Paths are cut into pieces of four letters, on which they meet hints by equality; hints of
     under four letters are held against every path.
     """
-    scored = F.pandas_udf(_hint_score, T.DoubleType())
     asked = plans.select("query_id", F.explode("hints").alias("hint"))
     heads = index["heads"].withColumn("low", F.lower("path"))
     grams = heads.where("length(low) >= 4").select("path", "id", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 3), lambda i: F.substring(F.col("low"), i, F.lit(4))))).alias("k"))
@@ -104,7 +166,7 @@ def path_channel(plans: DataFrame, index: dict[str, DataFrame], k: int = CHANNEL
     short = pairs.join(asked.where("length(hint) between 2 and 3").withColumn("k", F.substring("hint", 1, 2)), "k").where(F.contains("low", F.col("hint"))).select("query_id", "hint", "path", "id")
     order = Window.partitionBy("query_id", "hint").orderBy(F.length("path"), "path")
     near = long.unionByName(short).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
-    scores = near.select("query_id", "id", scored("path", "hint").alias("score"))
+    scores = near.select("query_id", "id", hint_score(F.col("path"), F.col("hint")).alias("score"))
     return _ranked(fusion.hint_bonus(scores, ["query_id", "id"]), "path", k)
 
 
@@ -139,14 +201,39 @@ def candidates(plans: DataFrame, channels: list[DataFrame], index: dict[str, Dat
     return scored.withColumn("final", fusion.combined(rank, F.col("features"), sense, F.col("intent")))
 
 
+#: Rank share of candidates that only the graph gives.
+GRAPH_RANK = 0.12
+
+
+def with_neighbours(scored: DataFrame, plans: DataFrame, index: dict[str, DataFrame], k: int, always: bool = False) -> DataFrame:
+    """Scored candidates and the chunks one step from the best of each query, but for queries that name a strong identifier.
+
+    The max(2k, 8) best are the seeds and at most max(2k, 12) chunks are added, with a fixed share
+    of rank and without meaning.
+    """
+    scored = materialize(scored, "scored")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 9)), "id")
+    wide = plans if always else plans.where("not strong")
+    best = scored.join(wide.select("query_id"), "query_id", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(2 * k, 8))
+    own = F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))
+    seeds = materialize(best.select("query_id", "id", "path", F.array_distinct(F.concat(names("content", "language"), own)).alias("names")), "seeds")
+    near = graph.expand(seeds, index["chunks"], index["symbols"].select("name", "id"), index["imports"], max(2 * k, 12)).select("query_id", "id")
+    new = near.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").join(index["chunks"], "id").join(plans.select("query_id", "raw", "intent"), "query_id")
+    new = new.where((F.coalesce("language", F.lit("")) != "git-commit") | (F.col("intent") == "history"))
+    new = new.withColumn("features", F.pandas_udf(_features, T.DoubleType())("path", "language", "symbol", "content", "raw"))
+    new = new.withColumn("rrf", F.lit(GRAPH_RANK)).withColumn("final", fusion.combined(F.lit(GRAPH_RANK), F.col("features"), F.lit(0.0), F.col("intent")))
+    return scored.unionByName(new, allowMissingColumns=True)
+
+
 _HIT = "place int, id string, path string, language string, symbol string, start_line int, end_line int, content string, hash string, final double"
 
 
-def select_hits(scored: DataFrame, k: int, diverse: bool = True) -> DataFrame:
+def select_hits(scored: DataFrame, k: int, diverse: bool = True, semantic: bool = False) -> DataFrame:
     """The ``k`` hits of each query: one for each file, in the order of preference, then chosen for diversity.
 
     Candidates are bounded for each query, so a query is one group. They are given in the order of
-    final score and id, which fixes the result of the preference that isn't transitive.
+    final score and id, which fixes the result of the preference that isn't transitive. Where
+    meaning was searched (``semantic``), diversity weighs less.
     """
     kind = scored.schema["query_id"].dataType.simpleString()
 
@@ -154,7 +241,7 @@ def select_hits(scored: DataFrame, k: int, diverse: bool = True) -> DataFrame:
         q = analyze(group["raw"].iloc[0])
         rows = group.sort_values(["final", "id"], ascending=[False, True], kind="stable").to_dict("records")
         hits = ranking.collapse(rows, q)
-        hits = ranking.diversify(hits, k, 0.88 if q.intent in ("symbol", "path") else 0.8) if diverse else hits[:k]
+        hits = ranking.diversify(hits, k, 0.88 if semantic else 0.8) if diverse else hits[:k]
         out = pd.DataFrame(hits)
         out["place"] = range(1, len(out) + 1)
         out["query"] = q.raw
@@ -165,20 +252,24 @@ def select_hits(scored: DataFrame, k: int, diverse: bool = True) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(one, f"query_id {kind}, query string, {_HIT}")
 
 
-def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 10, semantic: DataFrame | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, diverse: bool = True) -> DataFrame:
+def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 10, semantic: DataFrame | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, diverse: bool = True, expand: bool | None = None) -> DataFrame:
     """The ``k`` hits of each query (query_id, raw).
 
+    ``expand`` adds neighbours in the graph always or never; by default for queries without a strong identifier.
+
     ``semantic`` may give a channel (query_id, id, score, rank); ``rerank`` gets the scored
     candidates and adds a column neural, which is blended in.
     """
-    plans = plan_queries(queries)
+    plans = materialize(plan_queries(queries), "plans")
     channels = [text_channel(plans, index), symbol_channel(plans, index), path_channel(plans, index)]
     if semantic is not None:
         channels.append(semantic.select("query_id", "id", F.lit("semantic").alias("channel"), "score", "rank"))
     scored = candidates(plans, channels, index, k)
+    if expand is not False:
+        scored = with_neighbours(scored, plans, index, k, bool(expand))
     if rerank is not None:
         scored = fusion.blend_scores(rerank(scored), 0.35)
-    return select_hits(scored, k, diverse)
+    return select_hits(scored, k, diverse, semantic is not None)
 
 
 def planned_subqueries(queries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.chunker import chunk_files
 from corpusmith.functions.code import names
-from corpusmith.operators import context, graph, retrieval
+from corpusmith.operators import context, retrieval
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
 
@@ -43,14 +43,15 @@ def symbol_names(spark, directory):
     return rows.distinct().withColumn("name_lower", F.lower("name"))
 
 
-@CODE.add()
-def import_edges(spark, directory):
-    """What every file imports."""
-    return graph.imports_of(table(spark, directory, "chunks").select("path", "content").distinct())
+_kept: dict[tuple[str, str], retrieval.Index] = {}
 
 
 def _index(spark, directory):
-    return retrieval.build_index(table(spark, directory, "chunks"))
+    """The index over all chunks of a folder; it is kept for the session, so later queries read its tables."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _kept:
+        _kept[key] = retrieval.build_index(table(spark, directory, "chunks"))
+    return _kept[key]
 
 
 @CODE.add()
@@ -74,16 +75,6 @@ def path_hint_search(spark, directory):
     return retrieval.path_channel(plans, _index(spark, directory)).withColumn("score", F.round("score", 6))
 
 
-@CODE.add()
-def graph_expansion(spark, directory):
-    """Chunks one step from the best text hits."""
-    index = _index(spark, directory)
-    plans = retrieval.plan_queries(_tasks(spark))
-    seeds = retrieval.text_channel(plans, index, 5).join(index["chunks"], "id").select("query_id", "id", "path", names("content", "language").alias("names"))
-    symbols = index["symbols"].select("name", "id")
-    return graph.expand(seeds, index["chunks"], symbols, graph.imports_of(index["chunks"].select("path", "content")), 20)
-
-
 @CODE.add()
 def task_subqueries(spark, directory):
     """The focused parts of the tasks."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.functions import rules
 from corpusmith.operators import context, evaluation, manifest, policy
 from corpusmith.plans.registry import Registry
 from corpusmith.sources.tables import table
@@ -100,15 +99,6 @@ def watch_filter(spark, directory):
     return table(spark, directory, "files").where(policy.watched(F.col("path"))).select("workspace_id", "path").distinct()
 
 
-@MANIFESTS.add("""with e as (select workspace_id, path, lower(regexp_extract(regexp_extract(path, '[^/]+$'), '\\.([A-Za-z0-9]+)$', 1)) x from (select distinct workspace_id, path from files))
-select workspace_id, path, coalesce(map_extract_value(map {LANGS}, x), case when x <> '' then x else 'text' end) language from e""".replace("{LANGS}", "{" + ", ".join(f"'{k}': '{v}'" for k, v in rules.LANGUAGE_BY_EXTENSION.items()) + "}"))
-def language_detection(spark, directory):
-    """A4: the language of every file by its name."""
-    from corpusmith.sources.files import language_of
-
-    return table(spark, directory, "files").select("workspace_id", "path").distinct().select("workspace_id", "path", language_of(F.col("path")).alias("language"))
-
-
 @MANIFESTS.add("select id, min(p) preview from (select id, case when length(t) > 220 then substr(t, 1, 219) || '…' else t end p from (select id, trim(regexp_replace(content, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) t from chunks)) group by id")
 def previews(spark, directory):
     """C11: a line of every chunk."""
@@ -249,13 +239,13 @@ def corpus_tiers(spark, directory):
     return rows.withColumn("tier", F.when(F.col("bytes") <= 50000, "small").when(F.col("bytes") <= 500000, "medium").otherwise("large"))
 
 
-@MANIFESTS.add("""select distinct f.workspace_id, f.path from files f where exists (select 1 from (values ('record_path'), ('graph'), ('src/rank')) s(spec) where regexp_replace(f.path, '\\.[^./]+$', '') = spec or contains('/' || regexp_replace(f.path, '\\.[^./]+$', '') || '/', '/' || spec || '/'))""")
+@MANIFESTS.add("""select distinct f.workspace_id, f.path from files f where exists (select 1 from (values ('record_path'), ('graph'), ('src/rank'), ('packages/baba-cove-hint')) s(spec) where lower(f.path) = spec or starts_with(lower(f.path), spec || '.') or starts_with(lower(f.path), spec || '/') or contains(lower(f.path), '/' || spec || '/'))""")
 def files_of_imports(spark, directory):
     """The files that an import's target may mean: the path itself, or one with its segments."""
     from corpusmith.operators.graph import resolve_targets
 
     files = table(spark, directory, "files").select("workspace_id", "path").distinct()
-    targets = spark.createDataFrame([("record_path",), ("graph",), ("src/rank",)], "target string")
+    targets = spark.createDataFrame([("record_path",), ("graph",), ("src/rank",), ("packages/baba-cove-hint",)], "target string")
     return resolve_targets(files, targets).select("workspace_id", "path").distinct()
 
 

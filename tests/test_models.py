@@ -29,8 +29,8 @@ def test_embed_missing(spark):
     have = spark.createDataFrame([("a", "m"), ("b", "else")], "chunk_id string, model string")
     got = {r.chunk_id: r for r in models.embed_missing(chunks, have, models.hashed_embedding, "m").collect()}
     assert set(got) == {"b", "c"} and got["b"].dim == 64 and sum(x * x for x in got["b"].vector) == pytest.approx(1)
-    text = chunks.select(models.rerank_text(F.lit("p"), F.lit(None).cast("string"), F.col("text"), 12).alias("t")).first().t
-    assert text == "File: p\nsome"
+    text = chunks.select(models.rerank_text(F.lit("p"), F.lit(None).cast("string"), F.lit(""), F.col("text"), 12).alias("t")).first().t
+    assert text == "path: p\nsom…"
 
 
 def test_breaker():

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmith.functions.tokens import tokens
-from corpusmith.operators import components, context, evaluation, fusion, graph, history, lexical, manifest, policy, retrieval, similarity
+from corpusmith.operators import components, context, evaluation, fusion, graph, history, lexical, manifest, ordered, policy, retrieval, similarity
 from corpusmith.operators.generations import Store
 
 
@@ -97,8 +97,55 @@ def test_history(spark):
     one = spark.range(1)
     run = one.select(history.next_interval_run(F.lit(t), F.lit(t + timedelta(minutes=25)), F.lit(600)).alias("r"), history.next_nightly_run(F.lit("2025-07-01 22:30:00").cast("timestamp"), "01:00", "Europe/Berlin").alias("n")).first()
     assert run.r == t + timedelta(minutes=30) and run.n == datetime(2025, 7, 1, 23, 0)
-    kinds = spark.createDataFrame([("AccessDenied", None, None), ("ENOSPC", None, None), (None, "SlowDown", None), (None, None, 404), (None, None, 503), (None, None, None)], "c string, n string, s int")
-    assert [r[0] for r in kinds.select(history.store_error(F.col("c"), F.col("n"), F.col("s"))).collect()] == ["permission", "capacity", "throttled", "missing", "unavailable", "unknown"]
+    cause = "code string, name string, status int"
+    chains = [[("EACCES", None, None)], [(None, "Odd", None), ("ENOSPC", None, None)], [(None, "TimeoutError", 500)], [(None, None, 404)], [(None, "ExpiredToken", 403)], [], None, [(None, None, None)] * 4 + [("EPERM", None, None)]]
+    kinds = spark.createDataFrame([(i, c) for i, c in enumerate(chains)], f"i int, c array<struct<{cause.replace(' string', ':string').replace(' int', ':int')}>>")
+    got = [r.k for r in kinds.select("i", history.error_kind(F.col("c")).alias("k")).orderBy("i").collect()]
+    assert got == ["permission", "capacity", "timeout", "not_found", "transient", "transient", "transient", "transient"]
+    method = spark.createDataFrame([("get",), ("TRACE",), (None,)], "m string").select(history.normal_method(F.col("m")).alias("m"))
+    assert [r.m for r in method.collect()] == ["GET", "OTHER", "OTHER"]
+    route = one.select(history.normal_route(F.lit("/a/5?x=1"), [history.route_template("/a/{id}")]).alias("r"), history.normal_route(F.lit("/a/5/6"), [history.route_template("/a/{id}")]).alias("o")).first()
+    assert (route.r, route.o) == ("/a/{id}", "other")
+
+
+def test_ranges(spark):
+    import math as m
+    import random
+
+    r = random.Random(4)
+    data = [(r.choice(["a", "a", "a", "b", None]), r.randint(0, 30) if r.random() > 0.1 else None, i) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, v int, i int")
+    groups: dict = {}
+    for k, v, i in data:
+        groups.setdefault(k, []).append((v is not None, v, i))
+    want = sorted(((k, i, n + 1) for k, own in groups.items() for n, (_, _, i) in enumerate(sorted(own, key=lambda x: (x[0], x[1] or 0, x[2])))), key=repr)
+    assert rows(ordered.ranked(df, ["k"], [F.col("v"), F.col("i")]).select("k", "i", "rank")) == want
+    for share in (0.5, 0.95, 1.0):
+        high = [(k, x[m.ceil(round(len(x) * share, 9)) - 1]) for k, own in groups.items() if (x := sorted(v for ok, v, _ in own if ok))]
+        assert rows(ordered.nearest_rank(df, ["k"], "v", share, "p")) == sorted(high, key=repr)
+    assert ordered.nearest_rank(df.limit(0), ["k"], "v", 0.5, "p").count() == 0 and ordered.ranked(df.limit(0), ["k"], [F.col("i")]).count() == 0
+    sparse = df.withColumn("m", F.when(F.col("i") % 50 == 7, F.col("i")))
+    last, wanted = {}, []
+    for k, _, i in data:
+        last[k] = i if i % 50 == 7 else last.get(k)
+        wanted.append((k, i, last[k]))
+    assert rows(ordered.carried(sparse, ["k"], "i", F.floor(F.col("i") / 20), "m", "c").select("k", "i", "c")) == sorted(wanted, key=repr)
+
+
+def test_joins_of_tables(spark):
+    sources = spark.createDataFrame([("w", "a", "AA"), ("w", "b", None), ("w", "c", "zz")], "workspace_id string, path string, blob_hash string")
+    blobs = spark.createDataFrame([("aa", "one"), ("AA", "two"), ("bb", None), (None, "x")], "hash string, content string")
+    assert rows(manifest.virtual_documents(sources, blobs).select("path", "content")) == [("a", "two")]
+    assert manifest.virtual_documents(sources, blobs, sources.where("path = 'c'")).count() == 0
+    assert rows(manifest.granted(sources, blobs, "workspace_id")) == [("w", "aa", True), ("w", "zz", False)]
+    ids = spark.createDataFrame([(1, 1, "x"), (1, 2, "gone"), (1, 3, "y")], "query_id long, rank int, id string")
+    chunks = spark.createDataFrame([("x", 1), ("x", 2), ("y", None)], "id string, n int")
+    assert rows(manifest.in_order(ids, chunks)) == [(1, 1, "x", 2), (1, 3, "y", None)]
+    changes = spark.createDataFrame([("k", "1", None), ("k", "2", 5), ("k", "2", 4)], "key string, a string, b int")
+    assert rows(manifest.upsert(changes.limit(0), changes, ["key"])) == [("k", "2", 5)]
+    queue = spark.createDataFrame([("a", "pending", 1, None, 0), ("b", "processing", 0, 0, 1), ("c", "processing", 0, 90, 1), ("d", "pending", None, None, 0)], "id string, status string, n long, l long, attempts long")
+    queue = queue.withColumn("next_attempt_at", F.timestamp_seconds("n")).withColumn("locked_at", F.timestamp_seconds("l"))
+    assert [(r.id, r.attempts, r.status) for r in history.claim(queue, F.timestamp_seconds(F.lit(100)), 20_000, 5, ["id"]).collect()] == [("b", 2, "processing"), ("a", 1, "processing")]
 
 
 def test_evaluation(spark):
