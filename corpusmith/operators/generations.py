@@ -1,76 +1,79 @@
-"""Versions of an index on a shared folder: written beside each other, promoted by one small file."""
+"""Versions of an index on a shared folder: written beside each other, promoted by comparing and swapping one small value."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmith.operators.manifest import upsert, without
+from corpusmith.sources.objects import Conflict, Objects, Versioned
 
 
 class Store:
     """Generations of an index below one folder of any Hadoop file system.
 
-    A generation is a folder that is written once. ``active.json`` names the one that is read and
-    is replaced by renaming. One writer at a time is assumed; readers keep the generation they
-    opened until it is collected.
+    A generation is a folder that is written once. The value ``active`` names the one that is
+    read; it is replaced only by writers that read the value before it, so of two promotions one
+    fails. Readers keep the generation they opened until it is collected.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.objects = Objects(spark, self.root)
+        self._pointer = Versioned(self.objects, "active")
 
-    def _read(self, name: str) -> dict | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _write(self, name: str, value: dict) -> None:
-        new = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-        out.close()
-        target = self._path(f"{self.root}/{name}")
-        if not self._fs.rename(new, target):
-            self._fs.delete(target, False)
-            self._fs.rename(new, target)
+    def _active(self) -> tuple[int, dict]:
+        number, data = self._pointer.read()
+        return number, json.loads(data) if data else {"generation": None, "revision": None}
 
     def active(self) -> str | None:
         """The generation that is read."""
-        found = self._read("active.json")
-        return found["generation"] if found else None
+        return self._active()[1]["generation"]
 
     def revision(self) -> int | None:
         """The revision of the generation that is read."""
-        found = self._read("active.json")
-        return found["revision"] if found else None
+        return self._active()[1]["revision"]
 
     def read(self, table: str, generation: str | None = None) -> DataFrame:
         """A table of a generation, by default the active one."""
         return self.spark.read.parquet(f"{self.root}/{generation or self.active()}/{table}")
 
+    def _state(self, generation: str) -> dict | None:
+        data = self.objects.get(f"states/{generation}.json")
+        return json.loads(data) if data else None
+
+    def _note(self, generation: str, **more) -> None:
+        known = self._state(generation) or {}
+        self.objects.put(f"states/{generation}.json", json.dumps({**known, **more}, sort_keys=True).encode())
+
+    def state(self, generation: str) -> str | None:
+        """building, ready, active, retired or failed; None for one that isn't known."""
+        known = self._state(generation)
+        if known is None:
+            return None
+        return "active" if generation == self.active() else known["status"]
+
     def begin(self, tables: dict[str, DataFrame]) -> str:
-        """Writes a generation and gives its name; nothing reads it yet."""
+        """Writes a generation and gives its name; nothing reads it yet. One whose writing fails stays as failed."""
         name = f"gen-{uuid.uuid4().hex}"
-        for table, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{table}")
-        self._write(f"{name}.json", {"tables": sorted(tables)})
+        self._note(name, status="building", at=int(time.time() * 1000), tables=sorted(tables))
+        try:
+            for table, df in tables.items():
+                df.write.parquet(f"{self.root}/{name}/{table}")
+        except BaseException:
+            self._note(name, status="failed", at=int(time.time() * 1000))
+            raise
+        self._note(name, status="ready")
         return name
 
     def begin_from_active(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> str:
         """Writes a generation like the active one with changes: for each table rows to put, keys to delete, and the key."""
         base = self.active()
         tables = {}
-        for table in (self._read(f"{base}.json") or {"tables": []})["tables"]:
+        for table in (self._state(base) or {"tables": []})["tables"] if base else []:
             df = self.read(table, base)
             if table in changes:
                 put, gone, keys = changes[table]
@@ -78,27 +81,39 @@ class Store:
             tables[table] = df
         return self.begin(tables)
 
-    def promote(self, generation: str, revision: int) -> None:
-        """Makes a generation the active one; ValueError if its revision is older or it wasn't finished."""
-        if self._read(f"{generation}.json") is None:
+    def promote(self, generation: str, revision: int, expected: str | None = None) -> None:
+        """Makes a generation the active one.
+
+        ValueError if it wasn't finished, its revision is older than the active one's, or
+        ``expected`` is given and isn't the active one; Conflict if another promotion came between.
+        """
+        known = self._state(generation)
+        if known is None or known["status"] not in ("ready", "retired"):
             raise ValueError(f"{generation} isn't finished")
-        now = self.revision()
-        if now is not None and revision < now:
-            raise ValueError(f"revision {revision} is older than {now}")
-        self._write("active.json", {"generation": generation, "revision": revision})
+        number, now = self._active()
+        if expected is not None and now["generation"] != expected:
+            raise ValueError(f"{now['generation']} is active, not {expected}")
+        if now["revision"] is not None and revision < now["revision"]:
+            raise ValueError(f"revision {revision} is older than {now['revision']}")
+        self._pointer.replace(number, json.dumps({"generation": generation, "revision": revision}, sort_keys=True).encode())
+        if now["generation"] and now["generation"] != generation:
+            self._note(now["generation"], status="retired", at=int(time.time() * 1000))
 
     def discard(self, generation: str) -> None:
         """Removes a generation that isn't active."""
         if generation == self.active():
             raise ValueError("the active generation can't be discarded")
-        self._fs.delete(self._path(f"{self.root}/{generation}"), True)
-        self._fs.delete(self._path(f"{self.root}/{generation}.json"), False)
-
-    def collect(self, keep: int = 1, most: int = 8) -> list[str]:
-        """Removes generations but the active one and the newest ``keep`` others, at most ``most``, oldest first."""
-        states = [(s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName().startswith("gen-")]
-        idle = [name for _, name in sorted(states) if name != self.active()]
-        gone = idle[: max(0, len(idle) - keep)][:most]
-        for name in gone:
+        self.objects.delete(generation)
+        self.objects.delete(f"states/{generation}.json")
+
+    def collect(self, older_ms: int = 0, most: int = 8, now_ms: int | None = None) -> list[str]:
+        """Removes retired and failed generations that have been so for ``older_ms``, at most ``most``, oldest first."""
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        states = [(self._state(name), name) for name in (k.removeprefix("states/").removesuffix(".json") for k, *_ in self.objects.list("states/"))]
+        idle = sorted((s["at"], name) for s, name in states if s and s["status"] in ("retired", "failed") and name != self.active() and now - s["at"] >= older_ms)
+        for _, name in idle[:most]:
             self.discard(name)
-        return gone
+        return [name for _, name in idle[:most]]
+
+
+__all__ = ["Conflict", "Store"]

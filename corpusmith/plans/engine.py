@@ -464,3 +464,64 @@ def gold_problems(spark, directory):
     gold = table(spark, directory, "orders").select(F.floor(n / 2).alias("case_id"), F.array(F.when(n % 5 == 0, "../x").when(n % 5 == 1, "/abs").otherwise(named)).alias("expected"), F.array(F.when(n % 4 == 0, named).otherwise("n")).alias("negatives"))
     known = table(spark, directory, "files").select(F.regexp_extract("path", "^[^/]*/[^/]*", 0).alias("path")).unionByName(spark.range(40).select(F.concat(F.lit("packages/p"), F.col("id").cast("string")).alias("path")))
     return evaluation.invalid_gold(gold, known)
+
+
+# --- versions and archives ---------------------------------------------------------------------
+
+
+def _folder(spark):
+    import uuid
+
+    from corpusmith.session import kept_folder
+
+    return kept_folder(spark, f"store-{uuid.uuid4().hex}")
+
+
+@ENGINE.add("""with f as (select workspace_id, path, max(hash) hash from files where workspace_id is not null and path is not null group by 1, 2), c as (select workspace_id, path, max(blob_hash) hash from workspace_sources group by 1, 2)
+select workspace_id, path, hash from c where workspace_id is not null and path is not null union all select * from f where not exists (select 1 from c where c.workspace_id = f.workspace_id and c.path = f.path) and path not like '%.md'""")
+def generations(spark, directory):
+    """The active generation after a copy with changes was promoted over the first."""
+    from corpusmith.operators.generations import Store
+
+    keys = ["workspace_id", "path"]
+    first = table(spark, directory, "files").where("workspace_id is not null and path is not null").groupBy(*keys).agg(F.max("hash").alias("hash"))
+    put = table(spark, directory, "workspace_sources").where("workspace_id is not null and path is not null").groupBy(*keys).agg(F.max("blob_hash").alias("hash"))
+    store = Store(spark, _folder(spark))
+    one = store.begin({"files": first})
+    store.promote(one, 1)
+    store.promote(store.begin_from_active({"files": (put, first.where("path like '%.md'").select(*keys), keys)}), 2, one)
+    return store.read("files")
+
+
+def _archived(spark, directory):
+    """Files, chunks and vectors as an archive has them, and that archive's folder."""
+    from corpusmith.sources import snapshots
+
+    name = F.concat_ws("/", "workspace_id", "path").alias("path")
+    chunks = table(spark, directory, "chunks")
+    rows = {
+        "file": table(spark, directory, "files").groupBy(name).agg(F.max("hash").alias("hash"), F.max("language").alias("language"), F.max("mtime_ms").alias("mtime_ms"), F.max("size").alias("size")),
+        "chunk": chunks.groupBy("id").agg(F.min(F.concat_ws("/", "workspace_id", "path")).alias("path"), *(F.min(c).alias(c) for c in ("language", "start_line", "end_line", "content", "symbol", "hash"))).select("id", "path", "language", "start_line", "end_line", "content", "symbol", "hash"),
+        "embedding": table(spark, directory, "chunk_vectors").where("vector is not null and model is not null and dim is not null").join(chunks.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").select("chunk_id", "model", "dim", F.transform("vector", lambda x: F.when(~F.isnan(x), x)).alias("vector")).distinct(),
+    }
+    folder = _folder(spark)
+    snapshots.export_snapshot(rows, folder)
+    return folder
+
+
+@ENGINE.add("""select id, min(workspace_id || '/' || path) as path, min(start_line) start_line, md5(min(content)) digest from chunks group by id""")
+def snapshot_round_trip(spark, directory):
+    """The chunks of an archive that was written, checked and read."""
+    from corpusmith.sources import snapshots
+
+    return snapshots.import_snapshot(spark, _archived(spark, directory))[1]["chunk"].select("id", "path", "start_line", F.md5("content").alias("digest"))
+
+
+@ENGINE.add("""select workspace_id || '/' || path as path, max(hash) hash, max(size) size from files group by 1""")
+def replicated_files(spark, directory):
+    """The files of an archive's published copy."""
+    from corpusmith.sources import snapshots
+
+    target = _folder(spark)
+    snapshots.replicate(spark, _archived(spark, directory), target, "main", 7)
+    return snapshots.import_snapshot(spark, snapshots.published(spark, target, "main"))[1]["file"].select("path", "hash", "size")

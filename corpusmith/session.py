@@ -77,6 +77,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the shared one that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusmith-{uuid.uuid4().hex}/{name}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a materialized table that no later action reads."""
     files = set(df.inputFiles())

@@ -59,21 +59,29 @@ def rate_limited(events: DataFrame, key: str, at: str, most: int = 60, seconds:
 
 
 def keep_manifest(changes: DataFrame, table: str, keys: list[str], order: str, op: str, checkpoint: str):
-    """Applies a stream of upserts and deletes to a Parquet table, batch by batch; returns the writer to start.
+    """Keeps a stream of upserts and deletes as parts of a manifest; returns the writer to start.
 
-    Of a batch's changes of a key the last by ``order`` counts. The table is a folder of versions;
-    each batch writes version ``batch + 1`` from the one before, so a batch that is run again gives
-    the same version. ``table/v=0`` must exist.
+    Each batch adds the last change by ``order`` of every key it has, deletes included, under its
+    own number, so a batch that is run again gives the same part and nothing else is rewritten.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = manifest.newest(batch, keys, [F.desc(order)])
-        base = spark.read.parquet(f"{table}/v={number}")
-        put = last.where(F.col(op) != "delete").select(*base.columns)
-        manifest.upsert(manifest.without(base, last, keys), put, keys).write.mode("overwrite").parquet(f"{table}/v={number + 1}")
+    def add(batch: DataFrame, number: int) -> None:
+        last = manifest.newest(batch, keys, [F.col(order).desc_nulls_last(), F.col(op)])
+        last.write.mode("overwrite").parquet(f"{table}/part={number}")
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def current_manifest(spark, table: str, keys: list[str], order: str, op: str) -> DataFrame:
+    """The manifest that the parts give: of each key the last change over all batches, however late it came; deleted keys don't come out."""
+    parts = spark.read.parquet(table).drop("part")
+    return manifest.newest(parts, keys, [F.col(order).desc_nulls_last(), F.col(op)]).where(F.col(op) != "delete").drop(op)
+
+
+def compact_manifest(spark, table: str, target: str, keys: list[str], order: str, op: str) -> None:
+    """Writes all parts as one of another folder, with deletes, so that changes that come later still find what is newer."""
+    parts = spark.read.parquet(table).drop("part")
+    manifest.newest(parts, keys, [F.col(order).desc_nulls_last(), F.col(op)]).write.mode("overwrite").parquet(f"{target}/part=-1")
 
 
 def watch_folder(spark, folder: str, schema: str, pause: str = "800 milliseconds"):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmith.functions.tokens import tokens
 from corpusmith.operators import components, context, evaluation, fusion, graph, history, lexical, manifest, ordered, policy, retrieval, similarity
 from corpusmith.operators.generations import Store
+from corpusmith.sources.objects import Conflict, Objects
 
 
 def rows(df):
@@ -193,12 +194,41 @@ def test_retrieval_ends(spark):
 def test_generations(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index")
     one = store.begin({"files": spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int")})
+    assert store.active() is None and store.state(one) == "ready"
     store.promote(one, 5)
     put = spark.createDataFrame([("b", 9), ("c", 3)], "path string, n int")
     two = store.begin_from_active({"files": (put, spark.createDataFrame([("a",)], "path string"), ["path"])})
     assert store.active() == one
+    for bad in ((two, 4), ("gen-none", 9), (two, 6, "gen-other")):
+        with pytest.raises(ValueError):
+            store.promote(*bad)
+    store.promote(two, 6, one)
+    assert rows(store.read("files")) == [("b", 9), ("c", 3)] and store.revision() == 6 and (store.state(one), store.state(two)) == ("retired", "active")
+    assert store.collect(older_ms=3_600_000) == [] and store.collect() == [one] and store.active() == two and store.state(one) is None
     with pytest.raises(ValueError):
-        store.promote(two, 4)
-    store.promote(two, 6)
-    assert rows(store.read("files")) == [("b", 9), ("c", 3)] and store.revision() == 6
-    assert store.collect(keep=0) == [one] and store.active() == two
+        store.discard(two)
+
+
+def test_two_writers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    df = spark.createDataFrame([(1,)], "n int")
+    one, two = store.begin({"t": df}), store.begin({"t": df})
+    number, _ = store._active()
+    store.promote(one, 1)
+    with pytest.raises(Conflict):  # it read the value before the first promotion
+        store._pointer.replace(number, b"{}")
+    store.promote(two, 1)
+    assert store.active() == two
+
+
+def test_objects(spark, tmp_path):
+    store = Objects(spark, f"file://{tmp_path}/o")
+    assert store.get("a/b") is None and store.head("a/b") is None and store.list() == []
+    store.put("a/b", b"one"), store.put("a/b", b"two"), store.put("c", b"")
+    assert store.get("a/b") == b"two" and store.head("a/b") == 3 and [k for k, *_ in store.list()] == ["a/b", "c"] and [k for k, *_ in store.list("a/")] == ["a/b"]
+    with pytest.raises(Conflict):
+        store.put_absent("a/b", b"x")
+    with pytest.raises(ValueError):
+        store.get("../x")
+    assert store.prefixed("a").get("b") == b"two" and store.within(30, "get", "a/b") == b"two" and store.delete("a/b") and not store.delete("a/b")
+    assert all(store.probe().values()) and store.list("probe-") == []

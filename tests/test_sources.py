@@ -84,6 +84,11 @@ def test_snapshots(spark, tmp_path):
     made = snapshots.export_snapshot(tables, folder, {"k": 1})
     manifest, back = snapshots.import_snapshot(spark, folder)
     assert manifest == made and all([tuple(r) for r in back[k].collect()] == [tuple(r) for r in tables[k].collect()] for k in tables)
+    target = f"file://{tmp_path}/far"
+    assert [snapshots.replicate(spark, folder, target, "main", n) for n in (2, 2, 1, 3)] == ["published", "already_current", "superseded", "published"]
+    assert snapshots.import_snapshot(spark, snapshots.published(spark, target, "main"))[0] == made and snapshots.published(spark, target, "other") is None
+    other = snapshots.export_snapshot({**tables, "embedding": tables["embedding"].limit(0)}, f"file://{tmp_path}/snap2")
+    assert other["digest"] != made["digest"] and snapshots.replicate(spark, f"file://{tmp_path}/snap2", target, "main", 3) == "conflict"
     tables["chunk"].withColumn("path", F.lit("gone")).select(F.to_json(F.struct(F.lit("chunk").alias("type"), F.struct("*").alias("value"))).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/chunk")
     with pytest.raises(ValueError):
         snapshots.import_snapshot(spark, folder)

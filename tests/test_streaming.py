@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from corpusmith.streaming import logs
 
 SCHEMA = "event_id long, user string, at timestamp, value double"
@@ -46,12 +44,13 @@ def test_inbox_and_limit(spark, tmp_path):
 
 
 def test_keep_manifest(spark, tmp_path):
-    table = str(tmp_path / "table")
-    spark.createDataFrame([("a", "1"), ("b", "2")], "path string, h string").write.parquet(f"{table}/v=0")
-    schema = "path string, h string, op string, n int"
-    folder = tmp_path / "changes"
-    spark.createDataFrame([("a", "9", "upsert", 2), ("a", "8", "upsert", 1), ("b", None, "delete", 3), ("c", "7", "upsert", 4)], schema).coalesce(1).write.json(str(folder))
-    changes = spark.readStream.schema(schema).json(str(folder))
-    logs.keep_manifest(changes, table, ["path"], "n", "op", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{table}/v=1").select("path", "h").collect()) == [("a", "9"), ("c", "7")]
-    assert spark.read.parquet(f"{table}/v=0").where(F.col("path") == "b").count() == 1
+    table, schema, folder = str(tmp_path / "table"), "path string, h string, op string, n int", tmp_path / "changes"
+    batches = [[("a", "1", "upsert", 0), ("b", "2", "upsert", 0), ("a", "9", "upsert", 5), ("b", None, "delete", 3)], [("a", "8", "upsert", 1), ("b", "3", "upsert", 2), ("c", "7", "upsert", 4)]]
+    for i, part in enumerate(batches):  # the second batch brings older changes
+        spark.createDataFrame(part, schema).coalesce(1).write.json(str(folder / f"p{i}"))
+        changes = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(str(folder))
+        logs.keep_manifest(changes, table, ["path"], "n", "op", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    now = lambda t: sorted((r.path, r.h) for r in logs.current_manifest(spark, t, ["path"], "n", "op").collect())
+    assert now(table) == [("a", "9"), ("c", "7")]
+    logs.compact_manifest(spark, table, str(tmp_path / "compact"), ["path"], "n", "op")
+    assert now(str(tmp_path / "compact")) == [("a", "9"), ("c", "7")]
