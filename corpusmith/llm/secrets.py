@@ -22,7 +22,7 @@ from corpusmith.llm.crf import LinearChain
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Training lines, all made by rule from SEED.
-TRAINING_LINES, SEED = 14_000, 20240817
+TRAINING_LINES, SEED = 16_000, 20240817
 
 # Parts of names that tell of secrets, and of names that don't hold any.
 _SECRET = "password passwd passphrase pass pwd pw secret token key apikey cred credential credentials auth authorization bearer session signing sig".split()
@@ -32,6 +32,8 @@ _ENDINGS = sorted((w for w in _KNOWN if len(w) > 3), key=lambda w: (-len(w), w))
 _TELLING = r"(?:pass(?:w|p|\b|_|word)|pwd|(?<![a-z])pw(?![a-z])|_pass\b|\.pass\b|secret|token|key|cred|auth|session|bearer)"
 _PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|gl[a-z]{2,4}-|xox[a-z]-|xapp-|[srp]k_(?:live|test|prod)_|sk-|eyJ|ya29\.|npm_|hf_|SG\.|dop_v1_|shp[a-z]{2}_)[A-Za-z0-9_\-]{8,}"
 
+#: A quoted literal given to any name that has small and capital letters and digits, as keys have: at least 20 characters of one run.
+_DENSE = r"[\w\]\)][\"']?\s*(?::=|=>|[:=(,])\s*[\"'`](?!sha\d+-)(?=[^\"'`\n]{0,60}[a-z])(?=[^\"'`\n]{0,60}[A-Z])(?=[^\"'`\n]{0,60}\d)[A-Za-z0-9+/_=\-]{20,}[\"'`]"
 _LINE = re.compile(
     rf"(?im)(?:{_TELLING}[\w.\-]*[\"'`\])]*\s*(?::=|=>|[:=,]|\s(?:to|is|as)\s|\s)\s*(?:[a-z&.:]{{0,12}}\(?)?[\"'`][^\"'`\n]+[\"'`]"
     rf"|{_TELLING}[\w.\-]*[\"'`\])]*\s*(?::=|=>|[:=])\s*(?:(?:basic|bearer|token)\s+)?[^\s\"'`(){{}}\[\],;]{{4,}}"
@@ -45,14 +47,15 @@ _LINE = re.compile(
     rf"|(?:authorization|auth|bearer)\W{{1,4}}(?:basic|bearer|token)\s+\S{{8,}}"
     rf"|://[^/\s:@\"'`]*:[^@/\s\"'`]+@"
     rf"|(?-i:{_PREFIXED})"
+    rf"|(?-i:{_DENSE})"
     rf"|-----BEGIN )"
 )
 #: Characters of a long line that are labelled at a time, and at least so many more on both sides that are read with them.
 WINDOW, AROUND = 20_000, 2_000
 _BREAK = re.compile(r"[\s\"'`(){}\[\],;]")
 #: What a line must have before it is looked at closely, in lower case.
-_QUICK = re.compile(r"login|user|account|pass|pwd|pw|secret|token|key|cred|auth|session|bearer|://[^/\s]*@|-----begin |akia|asia|aiza|gh[pousr]_|glpat|xox|xapp|[sr]k_|sk-|eyj|ya29|npm_|hf_|sg\.|dop_v1|shp|gl[a-z]{2,4}-|pk_|hooks\.slack|[?&]sig=")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END [A-Z0-9 ]+-----|[A-Za-z0-9+/=\s\\]*)")
+_QUICK = re.compile(r"login|user|account|pass|pwd|pw|secret|token|key|cred|auth|session|bearer|://[^/\s]*@|-----begin |akia|asia|aiza|gh[pousr]_|glpat|xox|xapp|[sr]k_|sk-|eyj|ya29|npm_|hf_|sg\.|dop_v1|shp|gl[a-z]{2,4}-|pk_|hooks\.slack|[?&]sig=|[\"'`][a-z0-9+/_=\-]{20}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]+-----|[A-Za-z0-9+/=\s\\]*)")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\n|[^\sA-Za-z0-9]")
 _FIELD = re.compile(r"[^\s\"'`(){}\[\],;]+|[{<][^\s\"'`]*")
 _ASSIGN = re.compile(r"^(-{0,2}[A-Za-z_][A-Za-z0-9_.\-]*)(:=|=>|=|:)(?=[^=/\s:])")
@@ -86,10 +89,20 @@ def parts_of(name: str) -> list[str]:
 
 _STYLES = [
     ("snake", re.compile(r"[a-z]+(?:_[a-z]+)*\d{0,3}")), ("camel", re.compile(r"[a-z]+(?:[A-Z][a-z]+)+\d{0,3}")), ("pascal", re.compile(r"(?:[A-Z][a-z]+)+")),
-    ("upper", re.compile(r"[A-Z]+(?:_[A-Z]+)*\d{0,3}")), ("kebab", re.compile(r"[a-z]+(?:[\-.][a-z]+)+")), ("word9", re.compile(r"[A-Z][a-z]+(?:[A-Z][a-z]+)*\d{2,}[!*#%\-_?.]?")),
-    ("joined9", re.compile(r"[A-Z][a-z]+[\-_.!#][a-z]+\d+")), ("words9", re.compile(r"[a-z]+(?:\d[a-z]+)+\W?")), ("shout9", re.compile(r"[a-z]+[A-Z]+[x!*#%\-_?.]\d+")),
+    ("upper", re.compile(r"[A-Z]+(?:_[A-Z]+)*\d{0,3}")), ("kebab", re.compile(r"[a-z]+(?:[\-.][a-z]+)+")),
     ("number", re.compile(r"-?\d+(?:\.\d+)*")), ("path", re.compile(r"[\w.\-]*(?:/[\w.\-]+)+")),
 ]
+#: Runs of a value that its pattern tells; longer ones are as good as random.
+RUNS = 7
+
+
+def pattern_of(value: str) -> str:
+    """The kinds of a value's runs in order: w a small word, l few small letters, T a capitalized word, U capitals, d digits, s other characters."""
+    out = []
+    for m in re.finditer(r"[A-Z][a-z]{2,}|[a-z]{3,}|[a-z]+|[A-Z]+|\d+|[^A-Za-z0-9]+", value):
+        run = m.group()
+        out.append("d" if run.isdigit() else "s" if not run.isalpha() else "U" if run.isupper() else "T" if run[0].isupper() else "w" if len(run) > 2 else "l")
+    return "".join(out) if len(out) <= RUNS else "many"
 
 
 def _shape(value: str) -> list[str]:
@@ -114,6 +127,8 @@ def _shape(value: str) -> list[str]:
     rough = min(5, int(6 * turns / max(n, 1)))
     out = [f"kind={kind}", f"size={size}", f"turns={rough}", f"spoken={int(4 * spoken)}", f"digits={min(3, digits)}", f"special={min(3, special)}"]
     style = next((n for n, p in _STYLES if p.fullmatch(value)), "none")
+    pattern = pattern_of(value)
+    out += [f"pattern={pattern}", f"marked={''.join(sorted(set(pattern))) if pattern != 'many' else pattern}"]
     out += [f"style={style}", f"style={style}&size={size}", f"kind={kind}&size={size}", f"kind={kind}&spoken={int(4 * spoken)}", f"kind={kind}&turns={rough}"]
     if kind == "hex" and n in (32, 40, 56, 64, 96, 128):
         out.append(f"hex={n}")
@@ -234,8 +249,16 @@ def tokens_of(text: str, key: str = "", head: str = "", names: list[tuple[int, s
                 base += [f"others={others}&{side}", f"others={others}&{side}&{shape[0]}"]
                 if ordered:
                     base.append(f"last={ordered[-1] if ordered[-1] in _SECRET or ordered[-1] in _PUBLIC else '-'}&{shape[0]}")
+                # what stands on both sides, but for blanks and quotes
+                beside = text[end : end + 8].lstrip(" \t\"'`")[:1] if not after or after not in "\r\n" else ""
+                before = text[max(0, begin - 8) : begin].rstrip(" \t\"'`")[-2:]
+                before = "word" if before[-1:].isalnum() else before
+                beside = "word" if beside.isalnum() else beside
+                base += [f"beside={beside}", f"before={before}", f"beside={beside}&{whole}", f"before={before}&{whole}", f"before={before}&beside={beside}"]
                 if after == "(" or after == "[":
-                    base.append("call")
+                    base += ["call", f"call&{whole}"]
+                if not value[0].isalnum():
+                    base += [f"lead={value[0]}", f"lead&{whole}"]
                 cached[at] = base
             own += cached[at]
             own.append("start" if a == begin else "later")
@@ -263,11 +286,32 @@ _VOCABULARY = (
 ).split()
 
 
+def _password(r: random.Random) -> str:
+    """A password as people and tools make them: random characters, or one to three words in any case, joined and followed by digits and marks."""
+    marks = "!*#%-_?.@$+~"
+    while True:
+        if r.random() < 0.4:
+            out = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(8, 20)))
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                at = r.randint(1, len(out))
+                out = out[:at] + r.choice(marks) + out[at:]
+        else:
+            joint = lambda: r.choice(["", "", r.choice(marks), str(r.randint(0, 9)), str(r.randint(0, 99))])
+            out = ""
+            for i in range(r.choice([1, 2, 2, 3])):
+                word = r.choice(_VOCABULARY)
+                out += (joint() if i else "") + r.choice([word, word, word.title(), word.upper()])
+            digits = "".join(r.choice(string.digits) for _ in range(r.choice([0, 1, 2, 2, 3, 4])))
+            out += r.choice([digits, digits, r.choice(marks) + digits, digits + r.choice(marks)])
+        # a bare word or name is no password to learn from
+        if len(out) >= 8 and (re.search(r"\d", out) or re.search(r"[^A-Za-z0-9_.\-]", out) or pattern_of(out) == "many"):
+            return out
+
+
 def _value_kinds(r: random.Random) -> dict[str, str]:
     w = lambda: r.choice(_VOCABULARY)
     alnum = string.ascii_letters + string.digits
     run = lambda n, s=alnum: "".join(r.choice(s) for _ in range(n))
-    mark = lambda: r.choice("!*#%-_?.")
     hexa = "0123456789abcdef"
     return {
         "random": run(r.choice([16, 20, 24, 32, 36, 40, 43, 48])),
@@ -275,13 +319,7 @@ def _value_kinds(r: random.Random) -> dict[str, str]:
         "prefixed": r.choice(["ghp_", "gho_", "glpat-", "sk_live_", "sk_test_", "xoxb-" + run(11, string.digits) + "-", "tok-", "npm_", "hf_", "key-", run(3, string.ascii_lowercase) + "_", run(4, string.ascii_lowercase) + "-"]) + run(r.choice([20, 24, 28, 32, 36])),
         "hexkey": run(r.choice([32, 32, 40, 48, 64]), hexa),
         "jwt": "eyJ" + run(17) + "." + "eyJ" + run(r.randint(40, 80)) + "." + run(r.randint(40, 45), alnum + "-_"),
-        "password": r.choice(
-            [
-                run(r.randint(9, 16)) + r.choice(["", mark() + r.choice(string.digits)]), run(r.randint(10, 18)), w().title() + r.choice("-_.") + w() + run(r.randint(2, 3), string.digits),
-                w() + w().upper() + mark() + run(2, string.digits), w() + w().upper() + "x" + run(r.randint(1, 2), string.digits), f"{w()}{r.randint(0, 9)}{w()}{r.randint(0, 9)}{w()}{r.choice('!x?')}",
-                w().title() + run(r.randint(2, 4), string.digits) + mark(), w().title() + w().title() + run(2, string.digits) + mark(), run(5) + mark() + run(5) + mark() + run(3), w().title() + "." + w() + run(2, string.digits),
-            ]
-        ),
+        "password": _password(r),
         "base64key": base64.b64encode(bytes(r.getrandbits(8) for _ in range(r.choice([24, 32, 48])))).decode(),
     }
 
@@ -334,12 +372,16 @@ def training_lines(count: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[
             name = r.choice(secret_names)
             pick = r.choice(["password"] * 6 + ["random", "random", "hexkey", "hexkey", "prefixed", "prefixed", "aws", "aws", "jwt", "base64key"])
             add(_assign(r, _name(r, extra + name), values[pick]), True)
-        elif kind < 0.36:  # prefixed keys under any name
-            add(_assign(r, _name(r, [w(), w()]), values[r.choice(["prefixed", "aws"])]), True)
+        elif kind < 0.36:  # prefixed and random keys under any name
+            pick = r.choice(["prefixed", "prefixed", "aws", "random"])
+            parts = _assign(r, _name(r, [w(), w()][: r.randint(1, 2)]), values[pick])
+            while pick == "random" and not (parts[0].endswith(("'", '"', "`")) and re.search(_DENSE, "".join(parts))):
+                parts = _assign(r, _name(r, [w(), w()][: r.randint(1, 2)]), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.choice([24, 32, 40, 48]))))
+            add(parts, True)
         elif kind < 0.44:  # passwords in URLs
             scheme = r.choice(["postgres", "mysql", "redis", "amqp", "https", "mongodb"])
-            host = f"{w()}.{w()}.{r.choice(['test', 'example', 'invalid', 'local'])}:{r.randint(80, 9999)}/{w()}"
-            user = r.choice(["svc_" + w(), w(), "admin", "reader"])
+            host = r.choice([f"{w()}.{w()}.{r.choice(['test', 'example', 'invalid', 'local'])}"] * 3 + ["localhost", w(), ".".join(str(r.randint(1, 254)) for _ in range(4))]) + f":{r.randint(80, 9999)}/{w()}"
+            user = r.choice([w(), w() + "_" + w(), w() + str(r.randint(1, 99)), "admin", "root"])
             a, v, b = _assign(r, _name(r, r.choice([["remote"], ["database", "url"], ["endpoint"], ["broker"], ["dsn"], [w(), "url"]])), f"{scheme}://{user}:")
             if r.random() < 0.6:
                 add((a + v, values["password"] if r.random() < 0.7 else values["random"][:20], f"@{host}{b}"), True)
@@ -348,7 +390,7 @@ def training_lines(count: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[
                 add((a + v, fill, f"@{host}{b}"), False)
         elif kind < 0.49:  # headers
             scheme = r.choice(["Basic", "Bearer", "Bearer", "token"])
-            value = base64.b64encode(f"svc_{w()}:{values['password']}".encode()).decode() if scheme == "Basic" else r.choice([values["random"], values["jwt"], values["prefixed"]])
+            value = base64.b64encode(f"{w()}:{values['password']}".encode()).decode() if scheme == "Basic" else r.choice([values["random"], values["jwt"], values["prefixed"]])
             form = r.choice(
                 [("curl -H 'Authorization: {} ", "' https://{}.example/v1"), ('  Authorization: "{} ', '"'), ("- Authorization={} ", ""), ('headers = {{"Authorization": "{} ', '"}}'), ('String proxyAuth = "{} ', '";'), ("# curl -H 'Authorization: {} ", "' https://x.test/{}"), ('req.Header.Set("Authorization", "{} ', '")'), ('auth_header = "{} ', '"')]
             )
@@ -382,28 +424,33 @@ def training_lines(count: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[
                 add(_assign(r, _name(r, ([w()] if r.random() < 0.5 else []) + noun) + r.choice(["", str(r.randint(1, 99))]), value), False)
         elif kind < 0.86:  # users and passwords in comments
             lead, end = r.choice([("# ", ""), ("// ", ""), ("-- ", ""), ("<!-- ", " -->"), ("", ""), ("/* ", " */")])
-            who = r.choice(["temp creds {} / ", "staging user {} / ", "old login: {} / ", "test account {} | ", "demo user: {} / ", "credentials {} / "]).format(r.choice(["svc_" + w(), w(), "admin", w() + "_" + w()]))
+            told = r.choice(["creds", "credentials", "login", "user", "username", "account"])
+            which = r.choice(["", "", r.choice(["test", "default", "shared", "local", "admin", "db", "staging", "new", "old", "prod", w()]) + " "])
+            who = f"{which}{told}{r.choice([' ', ': ', ' : '])}{r.choice([w(), w() + str(r.randint(1, 99)), w() + '_' + w(), w()[:3] + '-' + w(), w() + '.' + w()])} {r.choice('/|')} "
             if r.random() < 0.25:
                 add((f"{lead}{r.choice(['the', 'old', 'staging', 'db'])} {r.choice(['password', 'pw', 'passphrase'])} {r.choice(['is', 'was'])} ", values["password"], end), True)
             elif r.random() < 0.7:
                 add((lead + who, values[r.choice(["password", "password", "random"])], end), True)
             else:
-                add(("", lead + r.choice([who + r.choice([w(), "read-only", "<password>", "********", f"{w()}_{w()}", "see vault"]), f"user {w()} / {w()} guide", f"login / logout {w()}", f"the password is {r.choice(['rotated', 'stored', 'kept', 'optional', 'required'])} {w()}"]) + end, ""), False)
+                add(("", lead + r.choice([who + r.choice([w(), "read-only", "<password>", "********", f"{w()}_{w()}", "see vault"]), f"user {w()} / {w()} {w()}", f"login / {w()} {w()}", f"the password is {r.choice(['rotated', 'stored', 'kept', 'optional', 'required'])} {w()}"]) + end, ""), False)
         elif kind < 0.91:  # code
             a, b, c, d = w(), w(), w(), w()
             n = r.choice(["token", "key", "session", "tokenizer", "author", "passage", "secret", "password"])
             form = r.choice(
-                [f'log.info("{a} {n} for the {b}: %s", {c}_{d})', f'if {n}_{a} is None: raise ValueError("{b} {c} {d}")', f'{n}_{a}{r.randint(1, 99)} "$1" --{b} {r.randint(1, 9999)} || exit {r.randint(1, 99)}', f'{a}{n.title()}.set({b}.{c}, {{ {d}: {r.randint(1, 999)} }});', f"# rotate the {n} of the {a} weekly", f"// never log the {n} of a {b}", f'return {{"{a}_{n}": {b}_{c}, "{d}": {r.randint(1, 999)}}}', f"{a}_{n}: {{ {b}_{c}: {r.randint(1, 999)} }}", f"{a}_{n}{r.randint(1, 99)}: {r.randint(10, 99999)}", f'let {n}_{a} = {b}_{c}.get("{d}_{a}");', f'{n}_{a}[{b}] = {c}("{d}")', f'UPDATE {a}_{n} SET {b} = {c} WHERE {n}_{d} = \'{a}_{b}\'', f'for {n} in "${a.upper()}"/*; do {b}_{c} "${n}"; done', f'endpoint := "https://api.{a}.test/{b}?{n}_type={c}"', f'this.{a} = Objects.requireNonNull({n}{b.title()}, "{c} {d} for the {a}");']
+                [f'log.info("{a} {n} for the {b}: %s", {c}_{d})', f'if {n}_{a} is None: raise ValueError("{b} {c} {d}")', f'{n}_{a}{r.randint(1, 99)} "$1" --{b} {r.randint(1, 9999)} || exit {r.randint(1, 99)}', f'{a}{n.title()}.set({b}.{c}, {{ {d}: {r.randint(1, 999)} }});', f"# rotate the {n} of the {a} weekly", f"// never log the {n} of a {b}", f'return {{"{a}_{n}": {b}_{c}, "{d}": {r.randint(1, 999)}}}', f"{a}_{n}: {{ {b}_{c}{r.choice(['', str(r.randint(1, 99))])}: {r.randint(1, 99999)}, {d}_{a}: {c}_{d} }}", f"{a}_{n}{r.randint(1, 99)}: {r.randint(10, 99999)}", f'let {n}_{a} = {b}_{c}.get("{d}_{a}");', f'{n}_{a}[{b}] = {c}("{d}")', f'UPDATE {a}_{n} SET {b} = {c} WHERE {n}_{d} = \'{a}_{b}\'', f'for {n} in "${a.upper()}"/*; do {b}_{c} "${n}"; done', f'endpoint := "https://api.{a}.test/{b}?{n}_type={c}"', f'this.{a} = Objects.requireNonNull({n}{b.title()}, "{c} {d} for the {a}");']
             )
             add(("", form, ""), False)
         elif kind < 0.95:  # key blocks
             name = r.choice(["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP PUBLIC KEY BLOCK"])
             mark = f"-----BEGIN {name}-----"
             add((r.choice(["", "  ", f'{w()} = """', f'const {w()} = "', "# "]), mark, ""), "PRIVATE" in name)
+        elif kind < 0.965:  # encoded data under names that don't tell
+            data = base64.b64encode(bytes(r.getrandbits(8) for _ in range(r.choice([48, 60, 75, 96, 120])))).decode()
+            add(_assign(r, _name(r, [*extra, r.choice(["data", "body", "payload", "image", "icon", "font", "blob", "sample", "fixture", "bytes", w()])]), data), False)
         else:  # bare encoded data
             data = base64.b64encode(bytes(r.getrandbits(8) for _ in range(r.choice([48, 60, 75])))).decode()
             add(("", r.choice([f'    "{data}"', data, f"  {data},"]), ""), False)
-    return out + _further_lines(random.Random(seed + 1), count // 4)
+    return out + _further_lines(random.Random(seed + 1), count // 3)
 
 
 def _further_lines(r: random.Random, count: int) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -436,7 +483,7 @@ def _further_lines(r: random.Random, count: int) -> list[tuple[str, list[tuple[i
             d = lambda: r.choice(["", "", str(r.randint(0, 99))])
             camel = lambda: w() + "".join(w().title() for _ in range(r.randint(1, 2))) + d()
             any_ = lambda: r.choice([camel, camel, lambda: w().title() + w().title() + w().title(), lambda: f"{w()}_{w()}{d()}"])()
-            dotted = lambda: any_() + "".join("." + r.choice([w(), camel(), w().title() + w().title()]) for _ in range(r.randint(0, 2)))
+            dotted = lambda: r.choice([""] * 8 + ["&", "*", "<-", "!", "-", "&mut "]) + any_() + "".join("." + r.choice([w(), camel(), w().title() + w().title()]) for _ in range(r.randint(0, 2)))
             if kind < 0.5:
                 a, b = r.choice(forms)
                 fill = r.choice(["${TOKEN}", f"${upper}", "changeme", "<password>", f"{w()}_{w()}", f"{w()}{w().title()}", f"{w()}.{w()}", f"{w()}-{w()}", w(), "********", f"your-{w()}", "null", "true", str(r.randint(1, 99999)), "string", "string", f"{w()}.{w()}{w().title()}"])
@@ -445,7 +492,7 @@ def _further_lines(r: random.Random, count: int) -> list[tuple[str, list[tuple[i
                 t = r.choice([n, w() + n[:1].upper() + n[1:], w() + w().title() + n[:1].upper() + n[1:] + d(), f"{camel()}.{w().title()}{n.title()}", f"{w()}_{n}_{w()}{d()}", f"{n}{w().title()}{d()}.{w()}", f"{camel()}[{w()}.{n.title()}]"])
                 call = f"{dotted()}({dotted()}, {r.choice([str(r.randint(1, 99999)), camel(), f'{r.randint(1, 99)}.{r.randint(1, 999)}'])})"
                 line = r.choice(
-                    [f"{t} = {call};", f"const {t} = await {call};", f"let {t} = {dotted()} ?? {call};", f"{t} = {dotted()} {r.choice('+-*')} {r.randint(1, 99999)}", f"for _, {n} := range {dotted()} {{ {t} = append({dotted()}, {dotted()}) }}", f"for ({any_()} {n} : {camel()}) {{ {call}; }}", f"return {dotted()}.map(({n}) => {call});", f"const {t} = {dotted()}.filter(({w()}) => {dotted()} > {r.randint(1, 99999)});", f"{dotted()}.set({dotted()}, {{ {camel()}: {r.randint(1, 999)}, {t}: {dotted()} }});", f"export async function {camel()}({camel()}: {any_()}, {t}: number): Promise<{any_()}> {{", f"def {any_()}({t}: {any_()}, {camel()}: int = 3):", f"{t}: {dotted()}, {camel()}: {dotted()} }}", f"if {t} is None: raise ValueError({dotted()})", f"let {t} = {call}?;", f"  {t}: {dotted()},", f"public {any_()} {camel()}({any_()} {t}, int {camel()}) {{", f"{t}={dotted()}, {camel()}={dotted()})", f"{t} = {camel()}[{camel()}], {w()}"]
+                    [f"{t} = {call};", f"const {t} = await {call};", f"let {t} = {dotted()} ?? {call};", f"{t} = {dotted()} {r.choice('+-*')} {r.randint(1, 99999)}", f"for _, {n} := range {dotted()} {{ {t} = append({dotted()}, {dotted()}) }}", f"for ({any_()} {n} : {camel()}) {{ {call}; }}", f"return {dotted()}.map(({n}) => {call});", f"const {t} = {dotted()}.filter(({w()}) => {dotted()} > {r.randint(1, 99999)});", f"const {camel()} = {dotted()}.filter(({n}) => {dotted()} {r.choice('<>')} {r.choice([str(r.randint(1, 99999)), f'{r.randint(1, 99)}.{r.randint(1, 999)}'])});", f"for ({any_()} {n} : {camel()}) {{ {dotted()}.{w()}({dotted()}()); }}", f"select {{ case {camel()} <- {t}: case <-{dotted()}({r.randint(1, 9999)}): }}", f"{camel()} := {n}({dotted()}, {dotted()})", f"if {n} {r.choice(['>', '<', '=='])} {dotted()} {{ return {dotted()}() }}", f"{dotted()}.set({dotted()}, {{ {camel()}: {r.randint(1, 999)}, {t}: {dotted()} }});", f"export async function {camel()}({camel()}: {any_()}, {t}: number): Promise<{any_()}> {{", f"def {any_()}({t}: {any_()}, {camel()}: int = 3):", f"{t}: {dotted()}, {camel()}: {dotted()} }}", f"if {t} is None: raise ValueError({dotted()})", f"let {t} = {call}?;", f"  {t}: {dotted()},", f"public {any_()} {camel()}({any_()} {t}, int {camel()}) {{", f"{t}={dotted()}, {camel()}={dotted()})", f"{t} = {camel()}[{camel()}], {w()}"]
                 )
             else:
                 line = r.choice(
