@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusmith.session import materialize
 
 K = 5
-#: Rows of a cell at most on average, up to CELL_FLOATS numbers of cells' centres in all, which bounds what is broadcast.
-CELL, CELL_FLOATS = 128, 8_000_000
+#: Rows of a cell at most on average, up to CELL_FLOATS numbers of cells' centres in all and CENTRES cells of a group, which bounds what is broadcast.
+CELL, CELL_FLOATS, CENTRES = 128, 8_000_000, 2_500
+#: Cells that these bounds leave larger are parted by centres of their own, fitted on at most SAMPLE of their vectors each; a vector goes to so many parts.
+PART_REACH = 2
+#: A cell's vectors are sent to its parts by so many tasks.
+SALTS = 8
 #: Nearest cells that each vector goes to; within a large cell, nearest parts.
 REACH = 3
 #: Vectors of each group (model, dim) that centres and codes are fitted on, at most.
@@ -236,7 +240,7 @@ def _cell(ids: np.ndarray, vectors: np.ndarray, codes: Codes | None, k: int, flo
 def _fit(rows: DataFrame, sizes: list[tuple[str, int, int]]) -> dict[tuple[str, int], tuple[np.ndarray, Codes]]:
     """Centres and codes of each group that has more than two cells' rows, from at most SAMPLE of its vectors."""
     every = sum(n for *_, n in sizes)
-    plan = {(m, d): min(math.ceil(n / CELL), max(1, int(CELL_FLOATS * (n / every) / d)), SAMPLE // 8) for m, d, n in sizes if n > 2 * CELL}
+    plan = {(m, d): min(math.ceil(n / CELL), max(1, int(CELL_FLOATS * (n / every) / d)), CENTRES) for m, d, n in sizes if n > 2 * CELL}
     plan = {g: c for g, c in plan.items() if c > 1}
     if not plan:
         return {}
@@ -284,6 +288,67 @@ def clean(rows: DataFrame) -> DataFrame:
     return named.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), F.col("dim"), F.col("model")))
 
 
+def _parted(cells: DataFrame, large: dict[tuple[str, int], int]) -> DataFrame:
+    """Cells (vec_id, model, dim, cell, vector) with part: those of the groups ``large`` are parted into about so many each, others have one.
+
+    Each cell's centres are fitted where its sample lies and come to its vectors as the first row
+    of their partition, so nothing of this size passes through the driver.
+    """
+    spark = cells.sparkSession
+    bound = spark.sparkContext.broadcast(large)
+    cells = materialize(cells, "cells")
+    group = F.concat_ws("\0", "model", F.col("dim").cast("string"))
+    wide = cells.where(group.isin(*(f"{m}\0{d}" for m, d in large)))
+    hashed = F.xxhash64("vec_id", F.lit("part"))
+    thin = wide.where(F.pmod(hashed, F.lit(1_000_003)) < min(1.0, 16.0 / (REACH * CELL)) * 1_000_003)
+    order = Window.partitionBy("model", "dim", "cell").orderBy(hashed, "vec_id")
+    sample = thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).drop("_n")
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        model, dim, cell = group["model"].iloc[0], int(group["dim"].iloc[0]), int(group["cell"].iloc[0])
+        own = np.frombuffer(b"".join(group.sort_values("vec_id")["vector"]), dtype=np.float32).reshape(-1, dim)
+        # a cell's share of the sample tells its size
+        count = min(bound.value[(model, dim)] * 4, max(1, len(own) // 8), SAMPLE // 8)
+        return pd.DataFrame({"vec_id": [-1], "model": [model], "dim": [dim], "cell": [cell], "vector": [centres_of(_unit(own).astype(np.float32), count, 4).tobytes()]})
+
+    centres = sample.groupBy("model", "dim", "cell").applyInPandas(learn, "vec_id long, model string, dim int, cell int, vector binary")
+    centres = centres.withColumn("first", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = centres.unionByName(cells.withColumn("first", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")))
+    key = ["model", "dim", "cell", "salt"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, known = None, None
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in (*key, "first")}
+            places = list(zip(*(columns[n] for n in key), strict=True))
+            at = 0
+            while at < batch.num_rows:
+                end = at
+                while end < batch.num_rows and places[end] == places[at]:
+                    end += 1
+                if places[at] != place:
+                    place, known = places[at], None
+                    if columns["first"][at] == 0:
+                        known = np.frombuffer(batch.column("vector")[at].as_py(), dtype=np.float32).reshape(-1, place[1])
+                        at += 1
+                if at < end:
+                    own = batch.slice(at, end - at)
+                    blobs = own.column("vector").to_pylist()
+                    if known is None or len(known) < 2:
+                        parts = np.zeros((len(blobs), 1), dtype=np.int32)
+                    else:
+                        unit = _unit(np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(len(blobs), -1)).astype(np.float32)
+                        reach = min(PART_REACH, len(known))
+                        parts = np.concatenate([np.argpartition(-(unit[i : i + 4096] @ known.T), reach - 1, axis=1)[:, :reach] for i in range(0, len(unit), 4096)]).astype(np.int32)
+                    times = parts.shape[1]
+                    repeat = pa.array(np.repeat(np.arange(len(blobs)), times))
+                    yield pa.RecordBatch.from_arrays([*(own.column(n).take(repeat) for n in ("vec_id", "model", "dim", "cell")), pa.array(parts.reshape(-1)), own.column("vector").take(repeat)], names=["vec_id", "model", "dim", "cell", "part", "vector"])
+                at = end
+
+    ordered = every.repartition(*key).sortWithinPartitions(*key, "first").select("vec_id", *key, "first", "vector")
+    return ordered.mapInArrow(part, "vec_id long, model string, dim int, cell int, part int, vector binary")
+
+
 def nearest(rows: DataFrame, k: int = K, floor: float = -1.0, reach: int = REACH) -> DataFrame:
     """vec_id, neighbour and similarity of the ``k`` most similar vectors of the same model and dim, for every usable vector.
 
@@ -343,18 +408,21 @@ def nearest(rows: DataFrame, k: int = K, floor: float = -1.0, reach: int = REACH
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["vec_id", "neighbour", "similarity"])
 
         for batch in batches:
-            for vec, model, dim, cell, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if place != (model, dim, cell):
+            for vec, model, dim, cell, part, blob in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if place != (model, dim, cell, part):
                     if ids:
                         yield found()
-                    place, ids, blobs = (model, dim, cell), [], []
+                    place, ids, blobs = (model, dim, cell, part), [], []
                 ids.append(vec)
                 blobs.append(blob)
         if ids:
             yield found()
 
     cells = searched.mapInArrow(assign, "vec_id long, model string, dim int, cell int, vector binary")
-    placed = cells.repartition("model", "dim", "cell").sortWithinPartitions("model", "dim", "cell")
+    large = {(m, d): math.ceil(n / (CELL * len(fitted.value[(m, d)][0]))) for m, d, n in sizes if (m, d) in fitted.value}
+    large = {g: n for g, n in large.items() if n > 1}
+    cells = _parted(cells, large) if large else cells.select("vec_id", "model", "dim", "cell", F.lit(0).alias("part"), "vector")
+    placed = cells.repartition("model", "dim", "cell", "part").sortWithinPartitions("model", "dim", "cell", "part")
     pairs = placed.mapInArrow(search, "vec_id long, neighbour long, similarity double")
     # the other copies: their own vector's smallest ids, of similarity 1
     heads = firsts.where(F.col("_n") <= k).join(hot, ["model", "dim", "copy"], "left_semi").select("model", "dim", "copy", F.col("vec_id").alias("neighbour"))

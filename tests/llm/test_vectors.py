@@ -114,3 +114,13 @@ def test_dense_groups_and_scaled_copies(spark, monkeypatch):
     keys = vectors.directions(spark.createDataFrame(scaled, SCHEMA)).select("copy").distinct().count()
     assert keys == 1
     assert found(nearest(spark.createDataFrame(scaled, SCHEMA), 5, 0.5)) == {i: set([j for j in range(60) if j != i][:5]) for i in range(60)}
+
+
+@pytest.mark.parametrize("most", [1, 4, 12])
+def test_cells_are_parted_beyond_the_bound_on_centres(spark, monkeypatch, most):
+    """Far more vectors than the centres that are broadcast have room for: cells get centres of their own."""
+    monkeypatch.setattr(vectors, "CELL", 32)
+    monkeypatch.setattr(vectors, "CENTRES", max(2, most))
+    rows = data(n=3000, seed=most)
+    got = found(nearest(spark.createDataFrame(rows, SCHEMA), 4, 0.8))
+    assert recall(got, brute(rows, 4, 0.8)) > 0.97
