@@ -183,6 +183,20 @@ def basename_affinity(path: str, query: Query) -> float:
     return max(scores)
 
 
+def match_expression(query: Query, most: int = 16, fallback: int = 8) -> str:
+    """A full-text match expression of quoted terms: all parts of the first identifier for a symbol's query, else any of the first ``most`` terms and identifiers."""
+    clean = lambda t: re.sub(r'["*]', "", t).replace("'", "''")
+    terms = _unique([c for t in query.expanded if len(t) > 1 and (c := clean(t))] + [c for n in query.identifiers if len(c := clean(n)) > 1])
+    if not terms:
+        words = [w for w in re.split(r"\s+", re.sub(r"[^\w\s.-]", " ", query.raw, flags=re.ASCII)) if len(w) > 1]
+        return " OR ".join(f'"{w}"' for w in words[:fallback]) or '""'
+    if query.intent == "symbol" and query.identifiers:
+        name = re.sub(r"[\"*']", "", query.identifiers[0])
+        parts = [p for p in tokenize(name) if len(p) > 1]
+        return " AND ".join(f'"{p}"' for p in parts) if len(parts) > 1 else f'"{name}"'
+    return " OR ".join(f'"{t}"' for t in terms[:most])
+
+
 def subqueries(query: Query) -> list[tuple[str, str]]:
     """Focused parts (text, reason) of a long query with several facets; none for short or focused ones."""
     raw = query.raw.strip()

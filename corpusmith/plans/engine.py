@@ -384,7 +384,7 @@ def model_texts(spark, directory):
 @ENGINE.add("""with l as (select id, string_split(content, chr(10)) l from (select id, min(content) as content from chunks group by id) where content is not null),
 m as (select id, l, list_transform(l, lambda x: contains(lower(x), 'lease') or contains(lower(x), 'quota') or contains(lower(x), 'return')) m from l),
 k as (select id, l, list_transform(range(1, len(l) + 1), lambda i: list_bool_or(list_slice(m, greatest(i - 1, 1), i + 1))) k from m)
-select id, md5(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when k[i] then l[i] when i = len(l) or k[i + 1] then '…' end), lambda x: x is not null), chr(10))) salient
+select id, md5(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when k[i] then l[i] when i = len(l) or k[i + 1] then '… [unrelated lines omitted]' end), lambda x: x is not null), chr(10))) salient
 from k where len(l) > 3 and list_bool_or(k) and not list_bool_and(k)""")
 def salient_lines(spark, directory):
     """The lines of every chunk that hold a term, with their neighbours."""

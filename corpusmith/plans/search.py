@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmith.functions.tokens import plain_tokens, tokens
+from corpusmith.functions.tokens import plain_tokens, search_text, tokens
 from corpusmith.operators import fusion, lexical, similarity
 from corpusmith.plans.registry import Registry
 from corpusmith.session import materialize
@@ -44,10 +44,29 @@ def tokenize_plain(spark, directory):
     return _documents(spark, directory).select("doc_id", F.array_join(plain_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@SEARCH.add()
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+
+
+def _exact(column: str) -> str:
+    """SQL for the exact tokens of a column, as a list; of compatibility forms, the letters and numbers that the tables have."""
+    split = _SPLIT.format(f"nfc_normalize(replace(replace(replace({column}, 'ﬁ', 'fi'), '½', '1⁄2'), '™', 'TM'))")
+    words = f"regexp_extract_all(regexp_replace(regexp_replace(lower({split}), '[_\\-./\\\\]+', ' ', 'g'), '({_UNSPACED}+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    pairs = "case when length(w) < 2 then [w] else list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) end"
+    return f"flatten(list_transform({words}, lambda w: case when regexp_matches(w, '{_UNSPACED}') then {pairs} when length(strip_accents(w)) >= 2 then [strip_accents(w)] else [] end))"
+
+
+@SEARCH.add(f"select doc_id, array_to_string({_exact('text')}, ' ') tokens from documents where text is not null")
 def tokenize_documents(spark, directory):
     """Tokens of every document, with unified forms, stripped accents and character pairs."""
-    return _documents(spark, directory).select("doc_id", tokens("text").alias("tokens"))
+    return _documents(spark, directory).select("doc_id", F.array_join(tokens("text"), " ").alias("tokens"))
+
+
+@SEARCH.add(f"""with c as (select id, min(path) as path, min(symbol) symbol, min(language) as language, min(content) as content from chunks group by id),
+t as (select id, concat_ws(chr(10), path, path, symbol, symbol, language, content) t from c) select id, md5(array_to_string({_exact('t')}, ' ')) tokens from t""")
+def indexed_tokens(spark, directory):
+    """The tokens under which every chunk is indexed."""
+    rows = table(spark, directory, "chunks").groupBy("id").agg(*(F.min(c).alias(c) for c in ("path", "symbol", "language", "content")))
+    return rows.select("id", F.md5(F.array_join(tokens(search_text(*map(F.col, ("path", "symbol", "language", "content")))), " ")).alias("tokens"))
 
 
 @SEARCH.add(f"select term, count(distinct doc_id) df, count(*)::bigint tf from (select doc_id, unnest({_DOC_TOK}) term from documents where text is not null) group by term")
@@ -71,7 +90,7 @@ def bm25_topk(spark, directory):
     return lexical.top_k(_bm25(spark, directory), 10, "doc_id").withColumn("score", F.round("score", 6))
 
 
-@SEARCH.add()
+@SEARCH.add(_BM25.replace(_DOC_TOK, _exact("text")).replace(_TOK.format("raw"), _exact("raw")) + "select query_id, doc_id, rank, round(score, 6) score from bm where rank <= 10")
 def bm25_exact_tokens(spark, directory):
     """BM25 over the exact tokens."""
     docs = _documents(spark, directory)

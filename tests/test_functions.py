@@ -48,6 +48,12 @@ def test_query_terms():
     assert [Q.score_path_hint(p, h) for p, h in [("a/db/cursor.ts", "db/cursor"), ("cursor.ts", "cursor"), ("cursors.ts", "cursor"), ("cursor.spec.ts", "cursor"), ("myCursor.ts", "cursor"), ("cursorable.ts", "cursor"), ("xcursorx.ts", "cursor")]] == [4.0, 3.2, 3.1, 3.0, 2.9, 2.7, 2.0]
 
 
+def test_match_expression():
+    told = lambda raw: Q.match_expression(Q.analyze(raw))
+    assert told("EmptyQueryCursor handler") == '"empty" AND "query" AND "cursor"' and told("cache entries expire") == '"cache" OR "entries" OR "expire"' and told("") == '""'
+    assert told("the of?") == '"the" OR "of"' and len(told(" ".join(f"word{i}" for i in range(40))).split(" OR ")) == 16
+
+
 def test_subqueries():
     assert Q.subqueries(Q.analyze("short query")) == []
     plan = Q.subqueries(Q.analyze("Fix the SnapshotJob so that the replica retries, and then update src/cache/store.ts while keeping RawRangeDiff untouched"))

@@ -162,10 +162,17 @@ def test_evaluation(spark):
 
 
 def test_context():
-    hit = lambda i, text, a=1, z=3, path="p.ts": {"id": i, "hash": i, "path": path, "start_line": a, "end_line": z, "content": text}
+    hit = lambda i, text, a=1, z=3, path="p.ts", score=0.5: {"id": i, "hash": i, "path": path, "start_line": a, "end_line": z, "content": text, "score": score}
     long = "\n".join(f"line {i} {'needle' if i == 50 else 'hay'}" for i in range(100))
-    found = context.pack("# q\n", ["rule"], [hit("a", "short"), hit("a2", "short"), hit("b", long, 100, 200), hit("c", "x" * 5000, 300, 400)], ["needle"], 100)
-    assert found["kept"] == ["raw", "extractive", "cut"] and len(found["context"]) <= 400 and "needle" in found["context"]
+    rule = {"path": "AGENTS.md", "always": True, "content": "be kind"}
+    found = context.pack("# q\n", [rule], [hit("a", "short"), hit("a2", "short"), hit("b", long, 100, 200), hit("c", "x" * 5000, 300, 400)], ["needle"], 100)
+    assert found["kept"] == ["raw", "extractive", "cut"] and len(found["context"]) <= 400 and "needle" in found["context"] and found["truncated"]
+    wide = context.pack("# q\n", [rule], [hit("a", "short")], ["needle"], 1000)
+    assert "## Rule: AGENTS.md (always)" in wide["context"] and wide["kept"] == ["raw"] and not wide["truncated"]
+    # rounds: the best of each file first, by the best score of the file; repeated passages of a file are left out
+    order = context.in_rounds([hit("p1", "a", score=0.5), hit("q1", "b", path="q.ts", score=0.9), hit("p2", "c", 10, 12, score=0.4), hit("p3", "d", 10, 12, score=0.3), hit("q2", "e", 50, 52, "q.ts", 0.1)])
+    assert [h["id"] for h in order] == ["q1", "p1", "q2", "p2"] and context.in_rounds([]) == []
+    assert context.pack("# q\n", [], [], [], 10)["n_hits"] == 0
     assert context.salient("a\nb", ["a"]) is None
 
 
