@@ -47,3 +47,18 @@ def needs_rebuild(indexed: int | None, revision: int) -> bool:
 def rebuild_needed(indexed: Column, revision: Column) -> Column:
     """:func:`needs_rebuild` of columns."""
     return indexed.isNull() | (indexed != revision - 1)
+
+
+def recent_jobs(jobs: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` jobs (id, workspace_id, status, created_at) that were created last."""
+    return jobs.orderBy(F.desc_nulls_last("created_at"), "id").limit(most)
+
+
+def workspace_overview(files: DataFrame, chunks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per workspace: files, chunks, jobs and the last job's time; workspaces that any of the tables names."""
+    parts = [
+        files.select("workspace_id", "path").distinct().groupBy("workspace_id").agg(F.count("*").alias("files")), chunks.select("workspace_id", "id").distinct().groupBy("workspace_id").agg(F.count("*").alias("chunks")),
+        jobs.groupBy("workspace_id").agg(F.count_distinct("id").alias("jobs"), F.max("created_at").alias("last_job")),
+    ]
+    joined = parts[0].join(parts[1], "workspace_id", "full_outer").join(parts[2], "workspace_id", "full_outer")
+    return joined.select("workspace_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "chunks", "jobs")), "last_job")

@@ -11,7 +11,7 @@ from corpusmith.functions import ranking
 from corpusmith.functions.code import names
 from corpusmith.functions.query import Query, analyze, fts_groups, path_hints, priority_terms, strong_identifier, subqueries, symbol_hints
 from corpusmith.functions.tokens import plain_tokens, search_text, tokens
-from corpusmith.operators import fusion, graph, lexical
+from corpusmith.operators import evaluation, fusion, graph, lexical
 from corpusmith.session import materialize
 
 CHANNEL_ROWS = 200
@@ -298,3 +298,18 @@ def search_with_subqueries(queries: DataFrame, index: dict[str, DataFrame], k: i
     placed = merged.withColumn("place", F.row_number().over(order))
     return placed.join(index["chunks"], "id").join(queries.select("query_id", F.col("raw").alias("query")), "query_id")
 
+
+
+def evaluate(cases: DataFrame, index: dict[str, DataFrame], with_subqueries: bool = False, strict: bool = False) -> DataFrame:
+    """Metrics of each case (case_id, query, expected, top_k): its query is searched for the most that any case wants, and the files found are held against what it expects."""
+    most = cases.agg(F.max("top_k")).first()[0] or 1
+    asked = cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("raw"))
+    hits = search_with_subqueries(asked, index, most) if with_subqueries else search(asked, index, most)
+    found = hits.select(F.col("query_id").alias("case_id"), F.col("place").alias("rank"), "path")
+    return evaluation.ranking_metrics(found, cases.select("case_id", "expected", "top_k"), strict)
+
+
+def compare_subqueries(cases: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """Per case: recall with one query and with subqueries, their difference and the outcome."""
+    runs = lambda name, more: evaluate(cases, index, more).select("case_id", F.lit(1).alias("repetition"), F.lit(name).alias("variant"), F.lit("ok").alias("status"), "recall")
+    return evaluation.paired_deltas(runs("single", False).unionByName(runs("subqueries", True)), "single", "subqueries", "recall")

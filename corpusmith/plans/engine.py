@@ -525,3 +525,45 @@ def replicated_files(spark, directory):
     target = _folder(spark)
     snapshots.replicate(spark, _archived(spark, directory), target, "main", 7)
     return snapshots.import_snapshot(spark, snapshots.published(spark, target, "main"))[1]["file"].select("path", "hash", "size")
+
+
+# --- connectors and overviews ------------------------------------------------------------------
+
+
+@ENGINE.add("""with f as (select workspace_id || '/' || path as path, max(hash) revision, max(size) bytes from files where hash is not null group by 1), w as (select workspace_id || '/' || path as path, max(blob_hash) revision from workspace_sources where blob_hash is not null group by 1)
+select coalesce(f.path, w.path) as path, case when f.path is null then 'delete' else 'upsert' end change from f full join w on f.path = w.path where f.revision is distinct from w.revision""")
+def connector_sync(spark, directory):
+    """What a recorded tree of all files, read in pages, changes in what is stored."""
+    from corpusmith.sources import connectors
+
+    named = F.concat_ws("/", "workspace_id", "path").alias("path")
+    rows = table(spark, directory, "files").where("hash is not null").groupBy(named).agg(F.max("hash").alias("sha"), F.max("size").alias("size"))
+    entry = F.struct("path", F.lit("blob").alias("type"), "sha", "size")
+    pages = rows.groupBy(F.substring(F.md5("path"), 1, 3).alias("page")).agg(F.collect_list(entry).alias("tree")).select(F.to_json(F.struct(F.lit(False).alias("truncated"), "tree")).alias("value"))
+    folder = _folder(spark)
+    pages.write.text(folder)
+    listed = connectors.list_files(spark, "github", {"location": folder, "lines": True, "most": 1 << 60})
+    stored = table(spark, directory, "workspace_sources").where("blob_hash is not null").select(named, F.col("blob_hash").alias("remote_revision"))
+    return connectors.sync_plan(listed, stored)
+
+
+@ENGINE.add("""select id as path, case when start_line % 5 = 0 then null else md5(c) end digest, case when start_line % 5 = 0 then 'missing' end problem from (select id, min(content) c, min(start_line) start_line from chunks where content is not null group by id)""")
+def connector_blobs(spark, directory):
+    """The contents of files by their recorded blobs; a fifth of the blobs is missing."""
+    from corpusmith.sources import connectors
+
+    rows = table(spark, directory, "chunks").where("content is not null").groupBy("id").agg(F.min("content").alias("content"), F.min("start_line").alias("start_line"))
+    folder, data = _folder(spark), F.encode("content", "UTF-8")
+    rows.where("start_line % 5 != 0").select(F.concat_ws("-", "id", F.sha2("content", 256)).alias("sha"), F.lit("base64").alias("encoding"), F.base64(data).alias("content"), F.octet_length(data).cast("long").alias("size")).write.json(folder)
+    files = rows.select(F.col("id").alias("path"), F.concat_ws("-", "id", F.sha2("content", 256)).alias("revision"), F.octet_length(data).cast("long").alias("bytes"))
+    return connectors.read_files(spark, "gitlab", {"blobs": folder}, files).select("path", F.md5("content").alias("digest"), "problem")
+
+
+@ENGINE.add("""with f as (select workspace_id, count(distinct path) n from files group by 1), c as (select workspace_id, count(distinct id) n from chunks group by 1), j as (select workspace_id, count(distinct id) n, max(created_at) t from sync_sessions group by 1)
+select coalesce(f.workspace_id, c.workspace_id, j.workspace_id) workspace_id, coalesce(f.n, 0) files, coalesce(c.n, 0) chunks, coalesce(j.n, 0) jobs, epoch_us(j.t) last_us from f full join c on c.workspace_id = f.workspace_id full join j on j.workspace_id = coalesce(f.workspace_id, c.workspace_id)""")
+def workspace_overview(spark, directory):
+    """Files, chunks and jobs of every workspace."""
+    from corpusmith.operators import reports
+
+    found = reports.workspace_overview(table(spark, directory, "files"), table(spark, directory, "chunks"), table(spark, directory, "sync_sessions"))
+    return found.select("workspace_id", "files", "chunks", "jobs", F.unix_micros("last_job").alias("last_us"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,6 +59,33 @@ def rate_limited(events: DataFrame, key: str, at: str, most: int = 60, seconds:
     return stream.groupBy(key).applyInPandasWithState(judge, f"{key} {kind}, event_id long, {at} timestamp, rejected boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def rolling_percentile(events: DataFrame, key: str, at: str, value: str, n: int = 2000, share: float = 0.95, late: str = "1 hour", idle: int = 86_400) -> DataFrame:
+    """key, events and p: the nearest-rank percentile of each key's last ``n`` values, after every batch that brings any.
+
+    The state of a key holds ``n`` values at most and goes ``idle`` seconds after its last event.
+    """
+
+    def keep(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, values = state.get if state.exists else (0, [])
+        values, last = list(values), 0
+        for batch in batches:
+            batch = batch.dropna(subset=[value]).sort_values([at, value])
+            total += len(batch)
+            values = (values + batch[value].astype(float).tolist())[-n:]
+            last = max(last, *(int(pd.Timestamp(t).value // 1_000_000) for t in batch[at]), 0) if len(batch) else last
+        if values:
+            yield pd.DataFrame([(group[0], total, sorted(values)[max(0, math.ceil(round(len(values) * share, 9)) - 1)])], columns=[key, "events", "p"])
+        state.update((total, values))
+        state.setTimeoutTimestamp(max(last + idle * 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind = events.schema[key].dataType.simpleString()
+    stream = events.withWatermark(at, late).select(key, at, value)
+    return stream.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, events long, p double", "total long, values array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def keep_manifest(changes: DataFrame, table: str, keys: list[str], order: str, op: str, checkpoint: str):
     """Keeps a stream of upserts and deletes as parts of a manifest; returns the writer to start.
 

@@ -109,6 +109,15 @@ def test_history(spark):
     assert (route.r, route.o) == ("/a/{id}", "other")
 
 
+def test_evaluation_of_search(spark):
+    text = {"src/lease.ts": "export class LeaseKeeper { renewLease() { return 1 } }", "src/quota.ts": "export function quotaOf(x) { return x }", "docs/a.md": "# nothing here"}
+    index = retrieval.build_index(spark.createDataFrame([(p, p, "typescript" if p.endswith("ts") else "markdown", None, 1, 1, t, "h") for p, t in text.items()], "id string, path string, language string, symbol string, start_line int, end_line int, content string, hash string"))
+    cases = spark.createDataFrame([("one", "LeaseKeeper renew lease", ["lease.ts"], 2), ("two", "quotaOf", ["quota.ts"], 2), ("three", "nothing like it zzz", ["gone.ts"], 1)], "case_id string, query string, expected array<string>, top_k int")
+    got = {r.case_id: (r.recall, r.top1) for r in retrieval.evaluate(cases, index).collect()}
+    assert got["one"] == (1.0, 1) and got["two"] == (1.0, 1) and got["three"] == (0.0, 0)
+    assert {r.case_id: r.outcome for r in retrieval.compare_subqueries(cases, index).collect()} == dict.fromkeys(("one", "two", "three"), "unchanged")
+
+
 def test_ranges(spark):
     import math as m
     import random

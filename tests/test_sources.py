@@ -109,6 +109,25 @@ def test_connectors(spark, tmp_path):
         connectors.register("github", None)
 
 
+def test_reading_and_cursors(spark, tmp_path):
+    files = spark.createDataFrame([("a", "1", 3), ("b", "2", 9), ("c", "3", None), ("d", "9", 1)], "path string, revision string, bytes long")
+    (tmp_path / "blobs.json").write_text("\n".join(json.dumps(x) for x in [{"sha": "1", "encoding": "base64", "content": "YWJj\n"}, {"sha": "2", "encoding": "base64", "content": "YWJj"}, {"sha": "3", "encoding": "utf-8", "content": "x"}]))
+    got = {r.path: (r.content and bytes(r.content), r.problem) for r in connectors.read_files(spark, "github", {"blobs": str(tmp_path / "blobs.json")}, files).collect()}
+    assert got == {"a": (b"abc", None), "b": (None, "another size"), "c": (None, "not base64"), "d": (None, "missing")}
+    connectors.register("memory", lambda spark, config: spark.createDataFrame([("a", "1", None), ("n", "7", 4), ("../x", "1", 1)], "path string, revision string, bytes long"))
+    commit = "a" * 40
+    listed, cursor = connectors.list_since(spark, "memory", {"commit": commit}, None, files)
+    assert sorted(tuple(r) for r in listed.collect()) == [("a", "1", 3), ("n", "7", 4)] and connectors.list_since(spark, "memory", {"commit": commit}, cursor, files)[0] is files
+    with pytest.raises(ValueError):
+        connectors.list_since(spark, "memory", {"commit": "main"}, None, files)
+    with pytest.raises(ValueError):
+        connectors.read_files(spark, "memory", {}, files)
+    config = connectors.with_profile({}, {"name": "one", "root": "/a"})
+    assert connectors.profile(config)["root"] == "/a" and connectors.profile({}) == {} and connectors.profile(connectors.with_profile(config, {"name": "two", "root": "/b"}), "two")["root"] == "/b"
+    with pytest.raises(ValueError):
+        connectors.profile(config, "three")
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "old.db")
     with sqlite3.connect(path) as db:

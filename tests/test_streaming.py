@@ -43,6 +43,12 @@ def test_inbox_and_limit(spark, tmp_path):
     assert {(r.event_id, r.rejected) for r in limited} >= {(1, False), (2, True), (3, False), (4, False)}
 
 
+def test_rolling_percentile(spark, tmp_path):
+    df = stream(spark, tmp_path, EVENTS)
+    seen = [(r.user, r.events, r.p) for r in collected(logs.rolling_percentile(df, "user", "at", "value", 2, 0.5), tmp_path, "rolling")]
+    assert max(e for u, e, _ in seen if u == "u") == 4 and max(e for u, e, _ in seen if u == "v") == 2 and ("v", 2, 9.0) in seen
+
+
 def test_keep_manifest(spark, tmp_path):
     table, schema, folder = str(tmp_path / "table"), "path string, h string, op string, n int", tmp_path / "changes"
     batches = [[("a", "1", "upsert", 0), ("b", "2", "upsert", 0), ("a", "9", "upsert", 5), ("b", None, "delete", 3)], [("a", "8", "upsert", 1), ("b", "3", "upsert", 2), ("c", "7", "upsert", 4)]]
