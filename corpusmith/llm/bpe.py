@@ -244,3 +244,17 @@ def count_tokens(rows: DataFrame, key: str, text: str, name: str = TOKENIZER, fo
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=[key, "n_tokens"])
 
     return source.mapInArrow(count, f"`{key}` {kind}, n_tokens int")
+
+
+def decode_ids(rows: DataFrame, key: str, ids: str = "ids", name: str = TOKENIZER, folder: str | None = None) -> DataFrame:
+    """``key`` and the text of every row's ids; an empty text for null and empty arrays, U+FFFD for bytes that aren't a character."""
+    source = rows.select(F.col(key).alias(key), F.col(ids).cast("array<int>").alias("_ids"))
+    kind = source.schema[key].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = StreamingDecoder(name, folder)
+        for batch in batches:
+            texts = [own.feed(x or []) + own.close() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return source.mapInArrow(decode, f"`{key}` {kind}, text string")
