@@ -173,10 +173,12 @@ def threshold_gate(spark, directory):
     return table(spark, directory, "orders").groupBy(F.col("o_orderpriority").alias("suite")).agg(F.avg("o_totalprice").alias("v")).select("suite", evaluation.gate(F.col("v"), 100, 1e9).alias("passes"))
 
 
-@LOGS.add("""select coalesce(n.n_name, r.r_name) as name, case when n.n_name is null then 'missing' else 'unexpected' end problem from nation n full join region r on n.n_name = r.r_name where n.n_name is null or r.r_name is null""")
+@LOGS.add("""with f as (select distinct coalesce(lower(language), 'none') || ':' || workspace_id as name from files), c as (select distinct coalesce(lower(language), 'none') || ':' || workspace_id as name from workspace_sources)
+select coalesce(f.name, c.name) as name, case when f.name is null then 'missing' else 'unexpected' end problem from f full join c on f.name = c.name where f.name is null or c.name is null""")
 def suite_coverage(spark, directory):
-    """H6: what one set lacks of the other, both ways."""
-    have, want = table(spark, directory, "nation").select(F.col("n_name").alias("name")), table(spark, directory, "region").select(F.col("r_name").alias("name"))
+    """H6: the languages of workspaces that the index lacks of the sources, and the other way."""
+    named = lambda t: table(spark, directory, t).select(F.concat_ws(":", F.coalesce(F.lower("language"), F.lit("none")), "workspace_id").alias("name")).distinct()
+    have, want = named("files"), named("workspace_sources")
     return want.exceptAll(have).withColumn("problem", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("problem", F.lit("unexpected")))
 
 

@@ -81,10 +81,13 @@ def acl_longest_prefix(spark, directory):
     return policy.allowed(table(spark, directory, "files").select("workspace_id", "path").distinct(), rules_, "deny")
 
 
-@MANIFESTS.add("select distinct workspace_id, path from files where path = 'packages/baba-moor-graph' or starts_with(path, 'packages/baba-moor-graph/')")
+@MANIFESTS.add("""with f as (select distinct workspace_id, path, regexp_extract(path, '^[^/]*/[^/]*') prefix from files), m as (select workspace_id, min(prefix) prefix from f group by 1)
+select f.workspace_id, f.path from f join m on f.workspace_id = m.workspace_id where f.path = m.prefix or starts_with(f.path, m.prefix || '/')""")
 def path_prefix(spark, directory):
-    """The files below a folder."""
-    return table(spark, directory, "files").where(policy.under(F.col("path"), F.lit("./packages/baba-moor-graph/"))).select("workspace_id", "path").distinct()
+    """The files of each workspace below its first folder of packages."""
+    rows = table(spark, directory, "files").select("workspace_id", "path").distinct()
+    first = rows.groupBy("workspace_id").agg(F.concat(F.lit("./"), F.min(F.regexp_extract("path", "^[^/]*/[^/]*", 0)), F.lit("/")).alias("prefix"))
+    return rows.join(first, "workspace_id").where(policy.under(F.col("path"), F.col("prefix"))).select("workspace_id", "path")
 
 
 @MANIFESTS.add("select distinct id from chunks where language = 'python' and language <> 'git-commit'")
@@ -172,7 +175,7 @@ def first_chunks(spark, directory):
 
 
 @MANIFESTS.add("""with c as (select distinct workspace_id w, path p, id, start_line a, coalesce(end_line, start_line) z, symbol from chunks),
-s as (select w, p, 'sym' || a nm, a + 1 sa, a + 4 + a % 3 sz, a % 2 = 0 ex, row_number() over (partition by w, p order by a, id) ord from c),
+s as (select w, p, symbol nm, a + 1 sa, a + 4 + a % 3 sz, a % 2 = 0 ex, row_number() over (partition by w, p order by a, id, symbol) ord from c where symbol is not null),
 m as (select c.id, s.nm, row_number() over (partition by c.id order by ex desc, sz - sa desc, ord) n from c join s on c.w = s.w and c.p = s.p and s.sa <= greatest(c.z, c.a) and s.sz >= c.a)
 select distinct c.id, m.nm as name from c left join m on m.id = c.id and n = 1""")
 def interval_overlap(spark, directory):
@@ -180,11 +183,12 @@ def interval_overlap(spark, directory):
     from pyspark.sql import Window
 
     key = F.concat_ws(":", "workspace_id", "path")
-    spans = table(spark, directory, "chunks").select(key.alias("path"), "id", "start_line", F.coalesce("end_line", "start_line").alias("end_line")).distinct()
-    symbols = spans.select(
-        "path", F.concat(F.lit("sym"), F.col("start_line").cast("string")).alias("name"), (F.col("start_line") + 1).alias("start_line"), (F.col("start_line") + 4 + F.col("start_line") % 3).alias("end_line"),
-        (F.col("start_line") % 2 == 0).alias("exported"), F.row_number().over(Window.partitionBy("path").orderBy("start_line", "id")).alias("ordinal"),
+    rows = table(spark, directory, "chunks").select(key.alias("path"), "id", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "symbol").distinct()
+    symbols = rows.where("symbol is not null").select(
+        "path", F.col("symbol").alias("name"), (F.col("start_line") + 1).alias("start_line"), (F.col("start_line") + 4 + F.col("start_line") % 3).alias("end_line"),
+        (F.col("start_line") % 2 == 0).alias("exported"), F.row_number().over(Window.partitionBy("path").orderBy("start_line", "id", "symbol")).alias("ordinal"),
     )
+    spans = rows.select("path", "id", "start_line", "end_line").distinct()
     return manifest.widest_overlap(spans, symbols).select("id", "name").distinct()
 
 
