@@ -32,6 +32,8 @@ _SENTENCES = re.compile(r"(?<=[.!?])[\"'”’)\]*_`]*\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _WORDS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\s぀-ヿ㐀-鿿가-힯]+")
 _DIGITS = re.compile(r"\d+")
+#: Characters of no width, and what looks like a tokenizer's special token; neither is part of a word.
+_HIDDEN, _TOKEN = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff]"), re.compile(r"<\|\w+\|>")
 _FENCES = re.compile(r"```|~~~")
 _LAST_FENCE = re.compile(r"(?:^|\n)\s*(?:```|~~~)$")
 _BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?[a-zA-Z0-9]{0,8})$")
@@ -93,7 +95,7 @@ class _Spelling(dict):
     def __missing__(self, word: str) -> str:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        found = self[word] = _DIGITS.sub("0", word.lower()).strip("\"'”’“«»()[]{}.,;:!?*_~`。，、；：！？")
+        found = self[word] = "" if _TOKEN.fullmatch(word) else _DIGITS.sub("0", _HIDDEN.sub("", word).lower()).strip("\"'”’“«»()[]{}.,;:!?*_~`。，、；：！？")
         return found
 
 
@@ -154,7 +156,7 @@ def examine(text: str) -> dict:
             return found | {"verdict": "cut", "style": "comma"}
     parts = [s for s in _SENTENCES.split(_LEAD.sub("", line)) if s and s.strip()]
     words = _words(parts[-1]) if parts else []
-    while len(words) > 1 and len(words[0]) <= 3 and not _CJK.match(words[0]) and not re.search(r"[a-z0-9]", words[0]):
+    while len(words) > 1 and len(words[0]) <= 3 and not _CJK.match(words[0]) and not re.search(r"[a-z0-9]", unicodedata.normalize("NFC", words[0])):
         words.pop(0)  # stray symbols before the sentence
     if not words:
         return found | {"verdict": "cut" if found["marked"] else "whole"}
