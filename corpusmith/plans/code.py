@@ -36,7 +36,23 @@ def chunk_source(spark, directory):
     return chunk_files(rows.select(F.concat_ws("/", "id", "path").alias("path"), "content"))
 
 
-@CODE.add()
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|readonly|override|abstract|async|get|set|final|open|suspend)\s+)*"
+_TYPED = r"(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|override|virtual|async|open|sealed|extern)\s+)*"
+_NATIVE = r"(?:(?:static|inline|extern|const|unsigned|signed|volatile|constexpr|virtual|explicit|friend)\s+)*"
+_VALUE = r"(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)"
+#: The forms of declarations for the SQL; the one that must not begin with a word of control flow is met by leaving such lines out.
+_FORMS = [
+    r"(?:function\*?|class|interface|type|enum|def|fn|func|struct|trait|mod|fun|protocol|extension|namespace|record|object|actor)\s+([A-Za-z_$][\w$]*)", r"(?:const|let|var|val)\s+([A-Za-z_$][\w$]*)\s*=",
+    r"func\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", r"\bfunc\s+\([^)]*\)\s+([A-Za-z_$][\w$]*)\s*\(", rf"(?m)^\s*{_MODIFIERS}\*?([A-Za-z_$][\w$]*)\s*(?:<[^>{{}}]*>)?\s*\([^;{{}}]*\)\s*(?::[^{{]+)?\{{",
+    rf"(?m)^\s*{_TYPED}(?:[\w$<>\[\],.?]+\s+)+([A-Za-z_$][\w$]*)\s*\([^;{{}}]*\)\s*(?:throws\s+[^{{]+)?\{{", rf"(?m)^\s*([A-Za-z_$][\w$]*)\s*:\s*{_VALUE}", rf"\b(?:exports|module\.exports|prototype)\.([A-Za-z_$][\w$]*)\s*=\s*{_VALUE}",
+    rf"(?m)^\s*{_NATIVE}(?:[\w:<>*&~\s]+?)\s+([A-Za-z_~][\w]*)\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{{", r"\b([A-Za-z_$][\w$]*)\s*\([^;{]*\)\s*\{", r"(?m)^#+\s+(.+)$",
+]
+_ALL_FORMS = " || ".join("regexp_extract_all(t, '" + f.replace("'", "''") + "', 1)" for f in _FORMS)
+
+
+@CODE.add(rf"""with c as (select distinct id, content, language from chunks where content is not null), u as (select id, language, case when language = 'markdown' then content else regexp_replace(regexp_replace(content, '/\*[\s\S]*?\*/', chr(10), 'g'), '//.*', '', 'g') end t from c),
+v as (select id, case when language in ('python', 'ruby') then regexp_replace(t, '(?m)^\s*#.*$', '', 'g') else t end t from u), n as (select id, unnest({_ALL_FORMS}) raw from v),
+m as (select id, trim(substr(regexp_replace(raw, '^\s+|\s+$', '', 'g'), 1, 120)) as name from n) select distinct id, name, lower(name) name_lower from m where name <> '' and lower(name) not in ('catch', 'constructor', 'describe', 'for', 'if', 'it', 'return', 'switch', 'test', 'while')""")
 def symbol_names(spark, directory):
     """The names that every chunk declares."""
     rows = table(spark, directory, "chunks").select("id", F.explode(names("content", "language")).alias("name"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmith.functions.query import analyzed
 from corpusmith.functions.tokens import plain_tokens, search_text, tokens
 from corpusmith.operators import fusion, lexical, similarity
 from corpusmith.plans.registry import Registry
@@ -90,6 +91,23 @@ def bm25_topk(spark, directory):
     return lexical.top_k(_bm25(spark, directory), 10, "doc_id").withColumn("score", F.round("score", 6))
 
 
+_IDENT = r"\b[A-Z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\b|\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b|\b[a-z]+[A-Z][A-Za-z0-9]*\b|\b[A-Z][A-Z0-9_]{1,}\b|\b[A-Za-z_][\w]*(?:\.[A-Za-z_][\w]*)+\b|\b[A-Z][a-z][A-Za-z0-9]{1,}\b"
+_PATH = r"(?:[\w.-]+\/)+[\w.-]+|\b[\w-]+\.(?:ts|tsx|js|jsx|py|go|rs|java|md)\b"
+
+
+@SEARCH.add(rf"""with r as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_PATH}') p, list_filter(regexp_extract_all(coalesce(text, ''), '{_IDENT}'), lambda n: length(n) > 2 and lower(n) not in ('explain', 'find', 'given', 'how', 'locate', 'show', 'the', 'this', 'what', 'when', 'where', 'which', 'why')) n from documents),
+u as (select doc_id, t, list_filter(p, lambda x, i: list_position(p, x) = i) p, list_filter(n, lambda x, i: list_position(n, x) = i) n,
+ len(list_filter({_exact('t')}, lambda w: w not in ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'how', 'in', 'into', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'with', 'where'))) k,
+ regexp_matches(t, '(?i)\b(?:commit|history|why|when|blame|lineage|changelog|introduced|regression)\b') h from r)
+select doc_id, md5(array_to_string(n, ' ')) identifiers, md5(array_to_string(p, ' ')) paths, k tokens, h history,
+ case when h then 'history' when len(p) > 0 then case when len(list_filter(n, lambda x: length(x) >= 8 or contains(x, '_') or x <> lower(x))) > 0 then 'mixed' else 'path' end
+ when len(list_filter(n, lambda x: length(x) >= 8 or contains(x, '_') or x <> lower(x))) > 0 then case when k <= 6 then 'symbol' else 'mixed' end else 'concept' end intent from u""")
+def analyzed_queries(spark, directory):
+    """What every document's text asks for, read as a query."""
+    q = table(spark, directory, "documents").select("doc_id", analyzed("text").alias("q"))
+    return q.select("doc_id", F.md5(F.array_join("q.identifiers", " ")).alias("identifiers"), F.md5(F.array_join("q.paths", " ")).alias("paths"), F.size("q.tokens").cast("long").alias("tokens"), F.col("q.history").alias("history"), F.col("q.intent").alias("intent"))
+
+
 @SEARCH.add(_BM25.replace(_DOC_TOK, _exact("text")).replace(_TOK.format("raw"), _exact("raw")) + "select query_id, doc_id, rank, round(score, 6) score from bm where rank <= 10")
 def bm25_exact_tokens(spark, directory):
     """BM25 over the exact tokens."""
