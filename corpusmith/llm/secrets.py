@@ -77,14 +77,15 @@ _WHO = {"creds", "cred", "credentials", "login", "user", "username", "account",
 _PLAIN = {"to", "was", "is", "as", "string", "const", "let", "var", "final", "static", "set", "export", "run", "with", "basic", "bearer", "the", "new", "return", "h", "d"}
 
 
-def parts_of(name: str) -> list[str]:
+@lru_cache(maxsize=50_000)
+def parts_of(name: str) -> tuple[str, ...]:
     """The words of a name in snake, camel or kebab case."""
     out: list[str] = []
     for p in _PARTS.findall(name):
         low = p.lower()
         end = next((w for w in _ENDINGS if low != w and low.endswith(w)), None) if low not in _KNOWN else None
         out += [low[: -len(end)], end] if end else [low]
-    return out
+    return tuple(out)
 
 
 _STYLES = [
@@ -96,16 +97,34 @@ _STYLES = [
 RUNS = 7
 
 
+_RUN = re.compile(r"[A-Z][a-z]{2,}|[a-z]{3,}|[a-z]+|[A-Z]+|\d+|[^A-Za-z0-9]+")
+
+
 def pattern_of(value: str) -> str:
     """The kinds of a value's runs in order: w a small word, l few small letters, T a capitalized word, U capitals, d digits, s other characters."""
     out = []
-    for m in re.finditer(r"[A-Z][a-z]{2,}|[a-z]{3,}|[a-z]+|[A-Z]+|\d+|[^A-Za-z0-9]+", value):
+    for m in _RUN.finditer(value):
         run = m.group()
         out.append("d" if run.isdigit() else "s" if not run.isalpha() else "U" if run.isupper() else "T" if run[0].isupper() else "w" if len(run) > 2 else "l")
     return "".join(out) if len(out) <= RUNS else "many"
 
 
-def _shape(value: str) -> list[str]:
+# What the shape of a value is told by.
+_SYLLABLES = re.compile(r"[A-Za-z]{3,}")
+_VOWEL = re.compile(r"[aeiouyAEIOUY]")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_NAMELIKE = re.compile(r"[A-Za-z]+(?:[_\-.][A-Za-z]+)*[0-9]{0,3}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+_INTEGRITY = re.compile(r"sha\d+-")
+_PREFIX = re.compile(_PREFIXED)
+_LEAD = re.compile(r"[a-z]{2,5}[-_](?=\S{12,})")
+_CAPITAL = re.compile(r"[A-Z]")
+_SIGNED = re.compile(r"[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+")
+
+
+@lru_cache(maxsize=50_000)
+def _shape(value: str) -> tuple[str, ...]:
     """Features of a whole value."""
     n = len(value)
     letters = [c for c in value if c.isalpha()]
@@ -114,14 +133,14 @@ def _shape(value: str) -> list[str]:
     special = n - len(letters) - digits
     classes = [("l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s") for c in value]
     turns = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    words = re.findall(r"[A-Za-z]{3,}", value)
-    vowels = [len(re.findall(r"[aeiouyAEIOUY]", w)) / len(w) for w in words]
+    words = _SYLLABLES.findall(value)
+    vowels = [len(_VOWEL.findall(w)) / len(w) for w in words]
     spoken = sum(len(w) for w, v in zip(words, vowels, strict=True) if 0.2 <= v <= 0.7 and (w[1:].islower() or w.isupper())) / max(1, len(letters))
     kind = (
-        "hex" if n >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) and digits else
+        "hex" if n >= 8 and _HEX.fullmatch(value) and digits else
         "digits" if digits and not letters and not special else
-        "name" if re.fullmatch(r"[A-Za-z]+(?:[_\-.][A-Za-z]+)*[0-9]{0,3}", value) and (spoken > 0.75 or lower == len(letters) and turns <= 6) else
-        "alnum" if not special else "base64" if re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", value) else "mixed"
+        "name" if _NAMELIKE.fullmatch(value) and (spoken > 0.75 or lower == len(letters) and turns <= 6) else
+        "alnum" if not special else "base64" if _BASE64.fullmatch(value) else "mixed"
     )
     size = next(b for b in (3, 5, 7, 9, 11, 15, 19, 23, 31, 39, 47, 63, 95, 10**9) if n <= b)
     rough = min(5, int(6 * turns / max(n, 1)))
@@ -132,21 +151,21 @@ def _shape(value: str) -> list[str]:
     out += [f"style={style}", f"style={style}&size={size}", f"kind={kind}&size={size}", f"kind={kind}&spoken={int(4 * spoken)}", f"kind={kind}&turns={rough}"]
     if kind == "hex" and n in (32, 40, 56, 64, 96, 128):
         out.append(f"hex={n}")
-    if re.fullmatch(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", value):
+    if _UUID.fullmatch(value):
         out.append("uuid")
-    if re.match(r"sha\d+-", value):
+    if _INTEGRITY.match(value):
         out.append("sha-")
-    if re.match(_PREFIXED, value):
+    if _PREFIX.match(value):
         out.append("prefixed")
-    if m := re.match(r"[a-z]{2,5}[-_](?=\S{12,})", value):
-        out.append("lead" if len(re.findall(r"[A-Z]", value[m.end() :])) > 2 else "leadlow")
+    if m := _LEAD.match(value):
+        out.append("lead" if len(_CAPITAL.findall(value[m.end() :])) > 2 else "leadlow")
     if _PLACEHOLDER.search(value):
         out.append("placeholder")
     if _REFERENCE.search(value):
         out.append("reference")
-    if re.fullmatch(r"[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", value) and value.startswith("eyJ"):
+    if _SIGNED.fullmatch(value) and value.startswith("eyJ"):
         out.append("jwt")
-    return out
+    return tuple(out)
 
 
 def tokens_of(text: str, key: str = "", head: str = "", names: list[tuple[int, str, str]] | None = None) -> tuple[list[tuple[int, int]], list[list[str]]]:
