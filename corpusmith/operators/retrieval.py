@@ -12,9 +12,12 @@ from corpusmith.functions.code import names
 from corpusmith.functions.query import Query, analyze, fts_groups, path_hints, priority_terms, strong_identifier, subqueries, symbol_hints
 from corpusmith.functions.tokens import plain_tokens, search_text, tokens
 from corpusmith.operators import evaluation, fusion, graph, lexical
+from corpusmith.operators.models import Breaker
 from corpusmith.session import materialize
 
 CHANNEL_ROWS = 200
+#: Candidates of a query that are reranked, and how far their scores move.
+RERANK_TOP, RERANK_WEIGHT = 20, 0.32
 
 
 #: Tables of an index.
@@ -268,10 +271,42 @@ def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 10, semanti
     if expand is not False:
         scored = with_neighbours(scored, plans, index, k, bool(expand))
     if rerank is not None:
-        scored = fusion.blend_scores(rerank(scored), 0.35)
+        scored = reranked(scored, rerank, RERANK_TOP, RERANK_WEIGHT)
     return select_hits(scored, k, diverse, semantic is not None)
 
 
+def reranked(scored: DataFrame, rerank: Callable[[DataFrame], DataFrame], top: int, weight: float) -> DataFrame:
+    """Scored candidates whose ``top`` best of each query are given to ``rerank``, which adds neural, and moved towards its scores by ``weight``; the others keep theirs."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 9)), "id")
+    placed = materialize(scored.withColumn("_n", F.row_number().over(order)), "placed")
+    best = fusion.blend_scores(rerank(placed.where(F.col("_n") <= top).drop("_n")), weight)
+    return best.drop("neural").unionByName(placed.where(F.col("_n") > top).drop("_n"))
+
+
+def search_reliably(
+    queries: DataFrame, index: dict[str, DataFrame], k: int = 10, semantic: Callable[[DataFrame], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None,
+    breakers: dict[str, Breaker] | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """The hits of :func:`search` and the steps that had to be left out.
+
+    ``semantic`` makes a channel of queries and ``rerank`` adds scores, both by services that may
+    fail: each is run at once, under its breaker of ``breakers`` (semantic, rerank), and where it
+    fails or is kept back, the search goes on without it.
+    """
+    breakers = breakers if breakers is not None else {}
+    own = lambda name: breakers.setdefault(name, Breaker())
+    degraded: list[str] = []
+    channel = own("semantic").call(lambda: materialize(semantic(queries), "semantic"), None, degraded, "semantic") if semantic else None
+    safe = None
+    if rerank:
+
+        def safe(scored: DataFrame) -> DataFrame:
+            scored = materialize(scored, "scored")
+            return own("rerank").call(lambda: materialize(rerank(scored), "reranked"), scored.withColumn("neural", F.lit(None).cast("double")), degraded, "rerank")
+
+    return search(queries, index, k, channel, safe), degraded
+
+
 def planned_subqueries(queries: DataFrame) -> DataFrame:
     """query_id, sub (from 1), raw and reason of the focused parts of long queries."""
 

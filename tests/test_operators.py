@@ -118,6 +118,26 @@ def test_evaluation_of_search(spark):
     assert {r.case_id: r.outcome for r in retrieval.compare_subqueries(cases, index).collect()} == dict.fromkeys(("one", "two", "three"), "unchanged")
 
 
+def test_search_goes_on_without_services(spark):
+    index = retrieval.build_index(spark.createDataFrame([(p, p, "typescript", None, 1, 1, f"export const lease{i} = 'lease worker {i}'", "h") for i, p in enumerate(["a.ts", "b.ts", "c.ts"])], "id string, path string, language string, symbol string, start_line int, end_line int, content string, hash string"))
+    asked = spark.createDataFrame([(1, "lease worker")], "query_id long, raw string")
+
+    def broken(df):
+        raise OSError("no service")
+
+    plain = [r.id for r in retrieval.search(asked, index, 3).orderBy("place").collect()]
+    breakers = {}
+    for _ in range(4):
+        hits, degraded = retrieval.search_reliably(asked, index, 3, broken, broken, breakers)
+        assert [r.id for r in hits.orderBy("place").collect()] == plain and degraded == ["semantic", "rerank"]
+    assert not breakers["semantic"].allows()
+    last = plain[-1]
+    hits, degraded = retrieval.search_reliably(asked, index, 3, None, lambda df: df.withColumn("neural", (F.col("id") == last).cast("double")))
+    assert degraded == [] and {r.id: r.final for r in hits.collect()}[last] > {r.id: r.final for r in retrieval.search(asked, index, 3).collect()}[last] * 0.6
+    near = lambda df: df.select("query_id", F.lit(last).alias("id"), F.lit(0.9).alias("score"), F.lit(1).alias("rank"))
+    assert [r.id for r in retrieval.search_reliably(asked, index, 3, near)[0].orderBy("place").collect()][0] == last
+
+
 def test_ranges(spark):
     import math as m
     import random
