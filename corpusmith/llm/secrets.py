@@ -531,7 +531,7 @@ def model() -> LinearChain:
         places, feats = tokens_of(line)
         seqs.append(feats)
         labels.append([next((BEGIN if a == s else INSIDE for s, e in spans if s <= a < e), OUT) for a, _ in places])
-    return LinearChain(3).fit(seqs, labels, rounds=8, rate=0.2)
+    return LinearChain(3).fit(seqs, labels, rounds=5, rate=0.2)
 
 
 # --- finding -----------------------------------------------------------------------------------
