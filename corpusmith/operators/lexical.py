@@ -25,14 +25,15 @@ def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     return placed.groupBy("term", key, "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("_p")).alias("positions"))
 
 
-def asked_postings(texts: DataFrame, key: str, tokens: Column, terms: DataFrame) -> DataFrame:
-    """term, ``key``, tf and dl of the given terms (term) only, written once.
+def asked_postings(texts: DataFrame, key: str, tokens: Column, terms: DataFrame, positions: bool = False) -> DataFrame:
+    """term, ``key``, tf and dl of the given terms (term) only, with their positions if asked for, written once.
 
-    Terms are met before anything is counted or shuffled; positions aren't kept.
+    Terms are met before anything is counted or shuffled.
     """
-    placed = texts.select(key, tokens.alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
+    placed = texts.select(key, tokens.alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.posexplode("_t").alias("_p", "term"))
     met = placed.join(terms.select("term").distinct(), "term", "left_semi")
-    return materialize(met.groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "asked")
+    more = [F.sort_array(F.collect_list("_p")).alias("positions")] if positions else []
+    return materialize(met.groupBy("term", key, "dl").agg(F.count("*").alias("tf"), *more), "asked")
 
 
 def term_statistics(index: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from corpusmith.functions.chunker import chunk_files
 from corpusmith.functions.code import names
 from corpusmith.operators import context, retrieval
 from corpusmith.plans.registry import Registry
+from corpusmith.session import still_there
 from corpusmith.sources.tables import table
 
 CODE = Registry()
@@ -63,9 +64,9 @@ _kept: dict[tuple[str, str], retrieval.Index] = {}
 
 
 def _index(spark, directory):
-    """The index over all chunks of a folder; it is kept for the session, so later queries read its tables."""
+    """The index over all chunks of a folder; it is kept for the session as long as its tables are there, so later queries read them."""
     key = (spark.sparkContext.applicationId, directory)
-    if key not in _kept:
+    if key not in _kept or not all(map(still_there, _kept[key].values())):
         _kept[key] = retrieval.build_index(table(spark, directory, "chunks"))
     return _kept[key]
 

@@ -351,21 +351,35 @@ def path_scores(spark, directory):
     return retrieval.path_channel(plans, index).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@ENGINE.add("""with l as (select doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) l from documents where text is not null)
-select doc_id, len(list_filter(l, lambda x: regexp_matches(x, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0b}]')))::bigint lines, true sound from l where len(list_filter(l, lambda x: regexp_matches(x, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0b}]'))) > 0""")
-def chunk_coverage(spark, directory):
-    """How many lines with text the chunks of each document cover, and whether every chunk holds its lines, within the size, under its id."""
-    docs = table(spark, directory, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
-    named = docs.withColumn("path", F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".md")))
-    cut = chunk_files(named.select("path", "content")).withColumnRenamed("content", "chunk")
+_TEXT_LINE = "regexp_matches(x, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0b}]')"
+_COVERED = f"select key, n as lines, true as sound from (select key, len(list_filter(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_TEXT_LINE}))::bigint n from rows) where n > 0"
+
+
+def _covered(files):
+    """key, the lines with text that the chunks of files (key, path, content) cover, and whether every chunk ends with its lines and has its digest and id."""
+    cut = chunk_files(files.select("path", "content")).withColumnRenamed("content", "chunk")
     lines = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n", -1)
     own = F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     nul = F.lit("\0")
     identity = F.concat("path", nul, F.col("start_line").cast("string"), nul, F.col("end_line").cast("string"), nul, F.substring(F.sha2("chunk", 256), 1, 8))
     sound = F.col("chunk").endswith(own) & (F.col("hash") == F.sha2("chunk", 256)) & (F.col("id") == F.substring(F.sha2(identity, 256), 1, 16))
     text = r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x0b]"
-    placed = cut.join(named, "path").select("doc_id", sound.alias("sound"), F.filter(F.transform(F.sequence("start_line", "end_line"), lambda i: F.when(F.get(lines, i - 1).rlike(text), i)), lambda i: i.isNotNull()).alias("kept"))
-    return placed.groupBy("doc_id").agg(F.count_distinct("kept").alias("_"), F.size(F.array_distinct(F.flatten(F.collect_list("kept")))).cast("long").alias("lines"), F.every("sound").alias("sound")).drop("_")
+    placed = cut.join(files, "path").select("key", sound.alias("sound"), F.explode(F.filter(F.transform(F.sequence("start_line", "end_line"), lambda i: F.when(F.get(lines, i - 1).rlike(text), i)), lambda i: i.isNotNull())).alias("line"))
+    return placed.groupBy("key").agg(F.count_distinct("line").alias("lines"), F.every("sound").alias("sound"))
+
+
+@ENGINE.add(f"with rows as (select 'd' || doc_id as key, text as content from documents where text is not null) {_COVERED}")
+def chunk_coverage(spark, directory):
+    """How many lines with text the chunks of each document cover, and whether every chunk holds its lines, under its digest and id."""
+    docs = table(spark, directory, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("content"))
+    return _covered(docs.withColumn("path", F.concat(F.lit("documents/"), F.col("key"), F.lit(".md"))))
+
+
+@ENGINE.add(f"with rows as (select id as key, min(content) as content from chunks where content is not null group by id) {_COVERED}")
+def source_coverage(spark, directory):
+    """The same for the contents of all chunks, cut again by the structure of their language."""
+    rows = table(spark, directory, "chunks").where("content is not null").groupBy(F.col("id").alias("key")).agg(F.min("content").alias("content"), F.min("path").alias("path"))
+    return _covered(rows.withColumn("path", F.concat_ws("/", "key", "path")))
 
 
 # --- texts for models and prompts --------------------------------------------------------------

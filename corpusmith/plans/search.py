@@ -127,11 +127,21 @@ def fts_anchor_support(spark, directory):
     return lexical.boolean_matches(index, groups, "doc_id")
 
 
-@SEARCH.add()
+_ANY = [(1, "lease"), (1, "expires"), (1, "before"), (1, "worker"), (2, "publish"), (2, "snapshot"), (2, "replica"), (3, "stale"), (3, "cursor"), (4, "token"), (4, "budget"), (4, "generation"), (5, "quota"), (5, "limit")]
+
+
+@SEARCH.add(f"""with d as (select doc_id, {_DOC_TOK} t from documents where text is not null), a as (select * from (values {", ".join(map(str, _ANY))}) a(query_id, term)),
+e as (select query_id, doc_id, term, p from (select doc_id, unnest(t) term, generate_subscripts(t, 1) p from d) join a using (term)), k as (select query_id, doc_id, count(distinct term) k, count(*) n from e group by all),
+l as (select e.query_id, e.doc_id, e.p, x.term, max(x.p) seen from e join e x on x.query_id = e.query_id and x.doc_id = e.doc_id and x.p <= e.p group by all),
+s as (select query_id, doc_id, p, count(*) c, min(seen) start from l group by all),
+f as (select s.*, k.k, k.n, lag(case when s.c = k.k then s.start end) over (partition by s.query_id, s.doc_id order by s.p) prev from s join k on k.query_id = s.query_id and k.doc_id = s.doc_id),
+t as (select query_id, doc_id, case when any_value(k) = 1 then any_value(n) * 0.1 else sum(case when c = k and (prev is null or start > prev) then k::double / (p - start + 1) else 0 end) end score from f group by all),
+r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from t) select query_id::bigint query_id, doc_id, round(score, 6)::double score, rank from r where rank <= 10""")
 def fts_cover_density(spark, directory):
-    """The ten best documents of each query's boolean form by cover density."""
-    index = lexical.postings(_documents(spark, directory), "doc_id", plain_tokens(F.col("text")))
-    groups = _asked(spark).select("query_id", lexical.query_groups("raw").alias("groups"))
+    """The ten best documents of each query's boolean form by cover density."""
+    groups = materialize(_asked(spark).select("query_id", lexical.query_groups("raw").alias("groups")), "groups")
+    terms = groups.select(F.explode(F.flatten("groups")).alias("term"))
+    index = lexical.asked_postings(_documents(spark, directory), "doc_id", plain_tokens(F.col("text")), terms, positions=True)
     return lexical.top_k(lexical.cover_density_scores(index, groups, "doc_id"), 10, "doc_id").withColumn("score", F.round("score", 6))
 
 

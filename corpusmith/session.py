@@ -28,6 +28,9 @@ def local_session(cores: int = 8, name: str = "corpusmith", **conf: str) -> Spar
     return spark
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
@@ -39,8 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", path := f"file://{tempfile.mkdtemp(prefix='corpusmith-')}")
-    return path
+    # the setting can't be changed once a session runs, so the folder is remembered here
+    key = context.applicationId
+    if key not in _temporary:
+        _temporary[key] = f"file://{tempfile.mkdtemp(prefix='corpusmith-')}"
+    return _temporary[key]
 
 
 def ship(spark: SparkSession) -> None:
@@ -86,6 +92,16 @@ def kept_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a materialized table haven't been removed by others."""
+    files = df.inputFiles()
+    if not files:
+        return True
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a materialized table that no later action reads."""
     files = set(df.inputFiles())
