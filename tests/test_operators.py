@@ -227,6 +227,22 @@ def test_retrieval_ends(spark):
     assert retrieval.search(asked, none, 5).count() == 0
 
 
+def test_pieces_of_paths_are_never_sent(spark, monkeypatch):
+    """Few hints are sent to the pieces of all paths, many are met by a sort; Spark would hold the pieces for small and collect them in the driver."""
+    schema = "id string, path string, language string, symbol string, start_line int, end_line int, content string, hash string"
+    paths = ["src/rank/policy.ts", "src/rank/policies.ts", "lib/ts/queue.go", "docs/policy/a.md"]
+    index = retrieval.build_index(spark.createDataFrame([(str(i), p, None, None, 1, 2, "x", "h") for i, p in enumerate(paths)], schema))
+    plans = spark.createDataFrame([(1, ["policy", "src/rank"]), (2, ["ts", "queue"]), (3, [])], "query_id long, hints array<string>")
+    found = []
+    for most, join in ((retrieval.SENT_HINTS, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(retrieval, "SENT_HINTS", most)
+        hits = retrieval.path_channel(plans, index)
+        plan = hits._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count(join) == plan.count("Join ") == 2 and "BuildLeft" not in plan
+        found.append([(r.query_id, r.id, round(r.score, 6)) for r in hits.orderBy("query_id", "rank").collect()])
+    assert found[0] == found[1] and [x[:2] for x in found[0]] == [(1, "0"), (1, "1"), (1, "3"), (2, "2"), (2, "0"), (2, "1")]
+
+
 def test_generations(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index")
     one = store.begin({"files": spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int")})
