@@ -42,3 +42,11 @@ def test_core_does_not_import_llm():
             for f in files:
                 if f.endswith(".py"):
                     assert "corpusmith.llm" not in open(os.path.join(folder, f)).read(), f
+
+
+def test_path_scores_sends_hints(spark):
+    """The hints are sent to the pieces of all paths; the pieces, of whose number Spark has no estimate, to nobody."""
+    import __spark_entry__ as e
+
+    plan = e.queries()["path_scores"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BuildRight") == plan.count("Join ") == 2
