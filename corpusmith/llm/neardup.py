@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusmith.llm.shingles import Shingler
 from corpusmith.operators.components import connected_components
@@ -19,12 +19,10 @@ from corpusmith.session import materialize
 
 #: Retained values, and how many of them are keys of the inverted lists. A pair of similarity s has none of the keys in common with a probability of (1 - s) ** KEYS.
 RETAINED, KEYS = 32, 8
-#: A key is hot if more contents than this have it among their KEYS smallest values; it is no key of contents that are mostly not hot.
+#: A key is hot if more contents than this have it among their KEYS smallest values; it is no key of contents that have others.
 HOT = 256
-#: Contents with this share of hot values get a second sketch of values that aren't hot: COLD_KEYS of their WIDE smallest ones.
-HOT_SHARE, COLD_KEYS, WIDE = 0.2, 48, 128
-#: Contents with this share of hot values keep hot keys: two of them that share these are nearly as similar as any threshold asks.
-MOSTLY = 0.8
+#: Contents with this share of hot values are listed by all their runs, in the order of how many of them share each.
+HOT_SHARE = 0.2
 #: Lists are compared in blocks of so many entries.
 BLOCK = 256
 #: Standard deviations that an estimate may lie below the threshold.
@@ -54,14 +52,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def keys_of(values: np.ndarray, hot: int) -> tuple[list[int], bool]:
-    """The keys that a sketch is listed under, and whether its KEYS smallest values are all among them; bit i of ``hot`` says that value i is hot."""
+    """The keys that a sketch is listed under, and whether its KEYS smallest values are all among them; bit i of ``hot`` says that value i is hot.
+
+    Hot values leave twice as many others, which for contents with less than HOT_SHARE of hot ones
+    miss a pair no more often than KEYS values of any kind.
+    """
     if not hot:
         return values[:KEYS].tolist(), True
     flags = np.array([(hot >> i) & 1 for i in range(len(values))], dtype=bool)
-    cold = values[~flags][:KEYS].tolist()
-    if flags.mean() < MOSTLY:
-        return cold, False
-    return sorted({*values[:KEYS].tolist(), *cold}), True
+    return values[~flags][: 2 * KEYS].tolist(), False
 
 
 def sketch(items: DataFrame, retained: int = RETAINED) -> DataFrame:
@@ -93,12 +92,15 @@ def _values(sketches: DataFrame, most: int) -> DataFrame:
     return sketches.select("number", "sketch").mapInArrow(read, "number long, value long, at int")
 
 
-def _postings(items: DataFrame, reps: DataFrame) -> DataFrame:
+def _postings(items: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """number, value and full of the inverted lists; a content may be in a list twice.
 
     Values that more than HOT contents share are found by counting and met by a join, whose side
-    Spark broadcasts only where it is small. Contents with many of them are read once more for
-    values that aren't hot.
+    Spark broadcasts only where it is small. Contents with many of them are read once more and
+    listed by all their runs, rarest first: of n runs two contents of the threshold share at least
+    ``threshold`` n, so one of the first (1 - ``threshold``) n + 1 of both is the same. Where these
+    run into values that over HOT such contents share, a content is also listed under its KEYS
+    smallest values, hot or not, as it then is hot for nearly as much as the threshold asks.
     """
     sketches = reps.select("number", "sketch")
     hot = materialize(_values(sketches, KEYS).groupBy("value").count().where(F.col("count") > HOT).select("value"), "hot")
@@ -117,22 +119,29 @@ def _postings(items: DataFrame, reps: DataFrame) -> DataFrame:
             )
 
     first = flagged.select("number", "sketch", "hot").mapInArrow(listed, "number long, value long, full boolean")
-    mixed = materialize(reps.join(bits, "number").where(F.bit_count("hot") >= HOT_SHARE * F.octet_length("sketch") / WIDTH).select("number", "class", F.col("representative").alias("id")), "mixed")
+    mixed = materialize(reps.join(bits, "number").where(F.bit_count("hot") >= HOT_SHARE * F.octet_length("sketch") / WIDTH).select("number", "n", "sketch", "class", F.col("representative").alias("id")), "mixed")
     if not mixed.limit(1).count():
         return first
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(shingler.text(t)[:WIDE]) for t in batch.column(1).to_pylist()], pa.binary())], names=["number", "sketch"])
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingler.text(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number), pa.int64()), pa.array(own.view(np.int64))], names=["number", "value"])
 
     content = items.where("content is not null").select(F.col("id").cast("string").alias("id"), F.unhex(F.md5("content")).alias("class"), "content")
-    texts = content.join(mixed, ["id", "class"]).select("number", "content").dropDuplicates(["number"])
-    again = materialize(_values(texts.mapInArrow(wide, "number long, sketch binary"), WIDE), "wide")
-    cold = again.groupBy("value").count().where(F.col("count").between(2, HOT)).select("value")
-    order = Window.partitionBy("number").orderBy("value")  # at most WIDE rows each
-    second = again.join(cold, "value", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= COLD_KEYS)
-    return first.unionByName(second.select("number", "value", F.lit(False).alias("full")))
+    texts = content.join(mixed.select("id", "class", "number"), ["id", "class"]).select("number", "content").dropDuplicates(["number"])
+    runs = materialize(texts.mapInArrow(whole, "number long, value long"), "whole")
+    # runs of one content come first in the order, but can't meet; only their number counts
+    shared = runs.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = runs.join(shared, "value").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("runs"))
+    parts = 10_000
+    reach = F.expr(f"n - (({round(threshold * parts)} * cast(n as long) + {parts - 1}) div {parts}) + 1 - (n - size(runs))").cast("int")
+    prefix = materialize(own.join(mixed.select("number", "n", "sketch"), "number").select("number", "sketch", F.slice("runs", 1, F.greatest(reach, F.lit(0))).alias("runs")), "prefix")
+    rare = prefix.select("number", F.explode(F.filter("runs", lambda x: x["df"] <= HOT)).alias("x")).select("number", "x.value", F.lit(False).alias("full"))
+    often = _values(prefix.where(F.exists("runs", lambda x: x["df"] > HOT)), KEYS).select("number", "value", F.lit(True).alias("full"))
+    return first.unionByName(rare).unionByName(often)
 
 
 def _compare(threshold: float, retained: int):
@@ -177,7 +186,7 @@ def _compare(threshold: float, retained: int):
             place = shared.argmax(axis=1)
             smallest = table[right, place]
             listed = full[right] & full[i] & (place < KEYS) & (smallest <= mine[min(KEYS, len(mine)) - 1])
-            for j in right[good & (~listed | (smallest == np.uint64(value)))]:
+            for j in right[good & (~listed | (smallest.view(np.int64) == value))]:
                 a, b = names[i], names[j]
                 out.append((a, b) if a < b else (b, a))
 
@@ -223,11 +232,9 @@ def near_duplicates(items: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     sketches' errors: with s the similarity, (1 - s) ** KEYS, 7e-5 at 0.7, and 4 standard
     deviations of the estimate.
 
-    Hot keys (in more than HOT contents) aren't used as keys of contents that are mostly not hot:
-    these share other values with everything similar. Where less than half of what two contents
-    share is left once hot values don't count, they meet by up to COLD_KEYS values of a second
-    sketch; with c the similarity of what isn't hot (0.16 or more where three quarters are hot),
-    they miss each other with about (1 - c) ** n, n the number of these values that they have.
+    Hot keys (in more than HOT contents) aren't used as keys of contents that have others, and
+    contents with many of them are listed by all their runs, so that no pair is lost by that: see
+    :func:`_postings`.
     """
     read = materialize(sketch(items), "sketches")
     chosen = read.groupBy("id").agg(F.min("class").alias("class"))
@@ -237,7 +244,7 @@ def near_duplicates(items: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     # numbered once and written, so that the number of a content never changes
     reps = materialize(contents.join(heads, "class").select(F.monotonically_increasing_id().alias("number"), "class", "representative", "n", "sketch"), "contents")
     sketches = reps.select("number", "n", "sketch")
-    postings = _postings(items, reps)
+    postings = _postings(items, reps, threshold)
     sizes = postings.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("number"), blocks).cast("int")

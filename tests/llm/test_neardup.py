@@ -63,6 +63,19 @@ def test_hot_runs(spark, monkeypatch, seed, words):
     assert {tuple(r) for r in expand(links, members).collect()} == brute(rows, 0.7)
 
 
+def test_hot_contents_that_share_little_else(spark, monkeypatch):
+    """All of a long head is hot, as short contents hold its parts: it is most of what the long contents share, and the rest a few of many runs."""
+    monkeypatch.setattr(neardup, "HOT", 8)
+    head = [f"notice{i}" for i in range(820)]
+    rows = [(f"part{i:03}{j}", " ".join([*head[i : i + 12], f"own{i}and{j}"])) for i in range(0, 812, 8) for j in range(12)]
+    for p in range(12):
+        for side in "ab":
+            rows.append((f"whole{p:02}{side}", " ".join([*head, *(f"both{p}no{k}" for k in range(14)), *(f"{side}{p}no{k}" for k in range(164))])))
+    links, members = near_duplicates(spark.createDataFrame(rows, "id string, content string"), 0.7)
+    got = {tuple(r) for r in expand(links, members).collect() if r.id_a.startswith("whole") and r.id_b.startswith("whole")}
+    assert got == brute([r for r in rows if r[0].startswith("whole")], 0.7) and len(got) == 12
+
+
 def test_groups(spark):
     rows = corpus(3, n=10)
     got = {r.id: r for r in groups(*near_duplicates(spark.createDataFrame(rows, "id string, content string"))).collect()}
