@@ -1,8 +1,8 @@
 """Problem 5: files of a source tree that nobody wrote by hand in it.
 
 Chunks become sequences of masked tokens: every identifier, number and string is one mark. Their
-runs of five are sketched by MinHash; chunks whose sketches share a band form families, which
-are verified against a representative. Families whose masked lines follow one another in a few
+runs of five are sketched by MinHash; chunks whose sketches share two bands form families, which
+are verified against representatives. Families whose masked lines follow one another in a few
 fixed ways, and masks that many different contents of one workspace share, come from generators,
 those that are mostly literals are data, those without layout are minified.
 
@@ -262,6 +262,77 @@ def told_families(said: DataFrame) -> DataFrame:
     return keyed.join(families, "key").groupBy("workspace_id", "path").agg(F.max("family_made").alias("family_made"), F.max("family_foreign").alias("family_foreign"))
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in the order of their first one, in parts that no key goes on from; lists are rows of BINS values."""
+    held: list[list[np.ndarray]] = []
+    whole = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.flatten().to_numpy().reshape(-1, BINS) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns])
+        if held[-1][0][-1] != held[0][0][0]:  # the last key may go on
+            parts = whole()
+            begun = np.searchsorted(parts[0], parts[0][-1])
+            yield [x[:begun] for x in parts]
+            held = [[x[begun:] for x in parts]]
+    if held:
+        yield whole()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, code), in order, whose key another has."""
+    for keys, codes in _buckets(batches):
+        again = keys[1:] == keys[:-1]
+        kept = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(codes[kept])], names=["key", "code"])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head and code of sketches that agree, of rows (key, code, sketch) in order.
+
+    In each bucket the first sketch that agrees with no representative becomes one, until all are
+    done. One that only agrees with such as others represent gets these as its family, so that none
+    which agrees with another is left by itself.
+    """
+
+    def families(codes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        left = np.ones(len(codes), dtype=bool)
+        for i in range(len(codes)):
+            if left[i]:
+                alike = np.count_nonzero(sketches == sketches[i], axis=1) >= SIMILAR * BINS
+                own = alike & left
+                left &= ~alike
+                if np.count_nonzero(alike) > 1:
+                    yield codes[i], codes[own if np.count_nonzero(own) > 1 else alike]
+
+    for keys, codes, sketches in _buckets(batches):
+        ends = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        found = [x for lo, hi in zip(ends, ends[1:], strict=False) if hi - lo > 1 for x in families(codes[lo:hi], sketches[lo:hi])]
+        heads = np.repeat(np.array([h for h, _ in found], dtype=np.int64), [len(m) for _, m in found])
+        yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(np.concatenate([m for _, m in found]) if found else heads)], names=["head", "code"])
+
+
+def mask_families(table: DataFrame) -> DataFrame:
+    """code and family (what is the mean of its chunks) of each sketch of chunks (code, regular, literal, space, line, sketch): the largest of the families that it is in.
+
+    A family is a sketch with all that agree with it in SIMILAR of the values, for those that
+    :func:`_led` chooses, and each sketch's own chunks. Sketches that agree differ in at most six
+    values, so at least two of their bands are the same, and all of them meet under some pair of bands.
+    """
+    from corpusmith.session import materialize
+
+    kinds, width = ("regular", "literal", "space", "line"), BINS // BANDS
+    masks = materialize(table.groupBy("code").agg(F.first("sketch").alias("sketch"), F.count("*").alias("n"), *(F.sum(F.col(k).cast("int") if k == "regular" else F.col(k)).alias(k) for k in kinds)), "masks")
+    band = [F.slice("sketch", b * width + 1, width) for b in range(BANDS)]
+    pairs = F.array(*(F.xxhash64(F.lit(BANDS * a + b), band[a], band[b]) for b in range(BANDS) for a in range(b)))
+    placed = masks.select(F.explode(pairs).alias("key"), "code").repartition("key").sortWithinPartitions("key")
+    met = placed.mapInArrow(_met, "key long, code long").join(masks.select("code", "sketch"), "code").select("key", "code", "sketch")
+    led = met.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_led, "head long, code long")
+    members = materialize(led.unionByName(masks.select(F.col("code").alias("head"), "code")).distinct(), "members")
+    families = members.join(masks.drop("sketch"), "code").groupBy("head").agg(F.sum("n").alias("members"), *((F.sum(k) / F.sum("n")).alias(k) for k in kinds))
+    return members.join(families, "head").groupBy("code").agg(F.max_by(F.struct(*kinds), F.struct("members", "head")).alias("family"))
+
+
 def not_handwritten(files: DataFrame, chunks: DataFrame, lists: bool = True) -> DataFrame:
     """workspace_id, path and reason of the files (workspace_id, path) not written by hand in their workspace.
 
@@ -274,21 +345,10 @@ def not_handwritten(files: DataFrame, chunks: DataFrame, lists: bool = True) ->
     """
     from corpusmith.session import materialize
 
-    table = materialize(features(chunks).dropDuplicates(["id"]), "features")
-    width = BINS // BANDS
-    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sketch", b * width + 1, width)).alias("key")) for b in range(BANDS))))
-    kept = ["id", "regular", "literal", "space", "line", "sketch"]
-    placed = table.select(*kept, bands.alias("b")).select(*kept, "b.band", "b.key")
-    heads = placed.groupBy("band", "key").agg(F.min_by("sketch", "id").alias("head"), F.count("*").alias("met")).where("met > 1")
-    alike = F.aggregate(F.zip_with("sketch", "head", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x) >= SIMILAR * BINS
-    members = materialize(placed.join(heads.drop("met"), ["band", "key"]).where(alike).drop("sketch", "head"), "members")
-    families = members.groupBy("band", "key").agg(
-        F.count("*").alias("members"), F.avg(F.col("regular").cast("int")).alias("regular"), F.avg("literal").alias("literal"), F.avg("space").alias("space"), F.avg("line").alias("line"),
-    )
-    largest = members.select("id", "band", "key").join(families, ["band", "key"]).groupBy("id").agg(F.max_by(F.struct("regular", "literal", "space", "line"), F.struct("members", "key")).alias("family"))
+    table = materialize(features(chunks).dropDuplicates(["id"]).withColumn("code", F.xxhash64("sketch")), "features")
     # masks of many different contents in one workspace; copies of one content count once
     forms = table.where("coded").select("workspace_id", "form", "print").distinct().groupBy("workspace_id", "form").count().where(F.col("count") >= DEALT).select("workspace_id", "form", F.lit(True).alias("dealt"))
-    known = table.drop("sketch", "heads", "start", "whole", "print").join(largest, "id", "left").join(forms, ["workspace_id", "form"], "left")
+    known = table.drop("sketch", "heads", "start", "whole", "print").join(mask_families(table), "code", "left").join(forms, ["workspace_id", "form"], "left")
     of = lambda c, own: F.coalesce(F.col(f"family.{c}"), own)
     regular = of("regular", F.col("regular").cast("int"))
     kind = (

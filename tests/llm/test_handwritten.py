@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
+from corpusmith.llm import handwritten
 from corpusmith.llm.handwritten import BANDS, BINS, SIMILAR, head_lines, head_of, layout, masked, minhash, not_handwritten
 
 HAND = "def load(path, limit=3):\n    with open(path) as f:\n        rows = [parse(x) for x in f]\n    if not rows: raise ValueError('none')\n    total = sum(r.size for r in rows[:limit])\n    return rows, total / len(rows)\n"
@@ -78,6 +81,25 @@ def test_bands_find_families_at_the_limit():
     assert 1 - (1 - SIMILAR ** (BINS / BANDS)) ** BANDS > 0.98
 
 
+def test_families_are_found_beside_others(spark, monkeypatch):
+    """Masks that agree with each other, but in every band meet a first one that they don't agree with."""
+    r = np.random.default_rng(4)
+    common = r.integers(0, 2**31, BINS)
+    sketches = {}
+    for b in range(BANDS):  # with the smallest ids and forms
+        sketches[f"a{b}"] = [*r.integers(0, 2**31, 4 * b), *common[4 * b : 4 * b + 4], *r.integers(0, 2**31, BINS - 4 * b - 4)]
+    for i in range(11):
+        sketches[f"b{i}"] = [*common[: 26 if i else 32], *r.integers(0, 2**31, 6 if i else 0)]
+    rows = [
+        ("w", f"src/{k}.ts", k, 100, n, n, k > "b" and k != "b10", False, 0.0, 0.2, 10.0, 1, False, [], [int(x) for x in s]) for n, (k, s) in enumerate(sketches.items())
+    ]
+    kind = "workspace_id string, path string, id string, size int, print long, form long, regular boolean, coded boolean, literal float, space float, line float, start int, whole boolean, heads array<struct<words:array<string>,made:boolean,foreign:boolean,place:int>>, sketch array<int>"
+    table = spark.createDataFrame(rows, kind)
+    monkeypatch.setattr(handwritten, "features", lambda chunks: chunks)
+    got = {x.path for x in not_handwritten(table.select("workspace_id", "path"), table).collect()}
+    assert got == {f"src/b{i}.ts" for i in range(11)}  # b10 by its family
+
+
 def test_own_statements_arent_outvoted(spark):
     rows = [("w", f"src/a{i}.py", f"a{i}", 1, f"# {x}\n{HAND}") for i, x in enumerate(["reads lines para nosotros", "turns this off the path", "有关路径的说明", "loads the small table"] * 4)]
     said = {"es": "Archivo generado por protoc", "idl": "compiled from the idl", "zh": "自动生成请勿编辑", "de": "Automatisch generiert", "fr": "Fichier généré par outil"}
